@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 NAMES = {
     "op3_byte_bpe": "byte_bpe",
+    "op6_source_mix": "mixing",
     "op10_jump_shards": "jump_shards",
 }
 
