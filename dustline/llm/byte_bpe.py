@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Entries that a worker remembers (about 150 bytes each) and the longest piece that it remembers.
-REMEMBERED, REMEMBERED_BYTES = 400_000, 64
+REMEMBERED, REMEMBERED_BYTES = 200_000, 64
 
 
 def default_ranks() -> tuple[bytes, str]:

@@ -8,6 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 NAMES = {
+    "op1_toxicity": "toxicity",
     "op3_byte_bpe": "byte_bpe",
     "op6_source_mix": "mixing",
     "op10_jump_shards": "jump_shards",
