@@ -11,6 +11,7 @@ NAMES = {
     "op1_toxicity": "toxicity",
     "op3_byte_bpe": "byte_bpe",
     "op6_source_mix": "mixing",
+    "op9_language_id": "language_id",
     "op10_jump_shards": "jump_shards",
 }
 
