@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 NAMES = {
     "op1_toxicity": "toxicity",
     "op3_byte_bpe": "byte_bpe",
+    "op5_near_dup": "near_dup",
     "op6_source_mix": "mixing",
     "op9_language_id": "language_id",
     "op10_jump_shards": "jump_shards",
