@@ -12,6 +12,7 @@ NAMES = {
     "op3_byte_bpe": "byte_bpe",
     "op5_near_dup": "near_dup",
     "op6_source_mix": "mixing",
+    "op7_ivf_pq": "ivf_pq",
     "op9_language_id": "language_id",
     "op10_jump_shards": "jump_shards",
 }
