@@ -13,6 +13,7 @@ NAMES = {
     "op5_near_dup": "near_dup",
     "op6_source_mix": "mixing",
     "op7_ivf_pq": "ivf_pq",
+    "op8_nn_descent": "nn_descent",
     "op9_language_id": "language_id",
     "op10_jump_shards": "jump_shards",
 }
