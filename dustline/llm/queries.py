@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 NAMES = {
     "op1_toxicity": "toxicity",
     "op3_byte_bpe": "byte_bpe",
+    "op4_passages": "passages",
     "op5_near_dup": "near_dup",
     "op6_source_mix": "mixing",
     "op7_ivf_pq": "ivf_pq",
