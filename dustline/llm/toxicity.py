@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from dustline.llm.common import U, mix, pieces
 
 #: The most labelled rows to learn from, by class, in the order of a hash of doc_id.
-TOXIC, ORDINARY = 1500, 3000
+TOXIC, ORDINARY = 700, 1400
 ORDER, WINDOW, DISCOUNT = 9, 16, 0.75
 FEATURES = ("evidence", "worst_window", "worst_word", "worst_words", "length")
 LETTERS = re.compile(r"[^\W\d_]+")
