@@ -12,9 +12,18 @@ from pyspark.sql import functions as F
 from dustline import profile as P
 from dustline.functions import pixel as X
 
-BY_ROW = Window.partitionBy("frame_id", "y").orderBy("x")
-BY_COLUMN = Window.partitionBy("frame_id", "x").orderBy("y")
-BY_FRAME = Window.partitionBy("frame_id").orderBy("y")
+
+def by_row():
+    """Made when asked for: a window needs a session, which workers that import this module don't have."""
+    return Window.partitionBy("frame_id", "y").orderBy("x")
+
+
+def by_column():
+    return Window.partitionBy("frame_id", "x").orderBy("y")
+
+
+def by_frame():
+    return Window.partitionBy("frame_id").orderBy("y")
 
 
 def working(px: DataFrame) -> DataFrame:
@@ -59,7 +68,7 @@ def row_sums(latched: DataFrame) -> DataFrame:
 
 def cumulative_means(sums: DataFrame) -> DataFrame:
     """Running means by row; rows before any accepted pixel keep the initial ones."""
-    run = BY_FRAME.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = by_frame().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     s = sums.withColumns({f"t_{c}": F.sum(c).over(run) for c in ("visible", "infrared", "weight")})
     some = F.col("t_weight") != 0.0
     return s.withColumns(
@@ -135,9 +144,9 @@ def calibration(latched: DataFrame) -> DataFrame:
     fail = (F.col("q2") == 1) | (F.col("q1") == 1)
     rec = rec.withColumn("base", F.when(fail, F.raise_error(F.lit("a scale of one has no calibration"))).otherwise(base))
     rec = rec.withColumns({"alpha": F.col("q2"), "gate2": gate, "reciprocal1": (F.lit(1.0) / (F.lit(1.0) - X.d("q1"))).cast("float"), "reciprocal2": (F.lit(1.0) / den).cast("float")})
-    last = F.last("base").over(BY_FRAME.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    last = F.last("base").over(by_frame().rowsBetween(Window.currentRow, Window.unboundedFollowing))
     # the score of a row uses the record one row on, the writer six rows on; the last record holds
-    return rec.withColumns({"base_score": F.coalesce(F.lead("base", 1).over(BY_FRAME), "base"), "base_write": F.coalesce(F.lead("base", 6).over(BY_FRAME), last)})
+    return rec.withColumns({"base_score": F.coalesce(F.lead("base", 1).over(by_frame()), "base"), "base_write": F.coalesce(F.lead("base", 6).over(by_frame()), last)})
 
 
 def auxiliary_plane(work: DataFrame, rows: DataFrame) -> DataFrame:
@@ -150,7 +159,7 @@ def score_plane(aux: DataFrame, minimum: bool = True) -> DataFrame:
     """score of each pixel: of the least of itself and its two neighbours in the row, at the row's ends of itself."""
     sample = F.col("aux")
     if minimum:
-        left, right = F.lag("aux").over(BY_ROW), F.lead("aux").over(BY_ROW)
+        left, right = F.lag("aux").over(by_row()), F.lead("aux").over(by_row())
         sample = F.when(left.isNull() | right.isNull(), F.col("aux")).otherwise(F.least(left, F.col("aux"), right))
     return aux.withColumn("score", X.score(sample, F.col("base_score")))
 
@@ -174,7 +183,7 @@ def decision(aux: DataFrame, policy: str = "replicate", threshold: float = P.DEC
         raise ValueError(f"unknown policy {policy!r}")
     low = (F.col("aux") < F.lit(threshold).cast("float")).cast("int")
     out = aux.withColumn("__low", low)
-    for axis, by, other, name in (("y", BY_COLUMN, BY_ROW, "v"), ("x", BY_ROW, BY_COLUMN, "h")):
+    for axis, by, other, name in (("y", by_column(), by_row(), "v"), ("x", by_row(), by_column(), "h")):
         every = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         n = F.max(axis).over(every) + 1
         count = F.sum("__low").over(by.rowsBetween(-4, 4))
@@ -183,7 +192,7 @@ def decision(aux: DataFrame, policy: str = "replicate", threshold: float = P.DEC
         out = out.withColumn(f"__{name}", edged if policy == "replicate" else count)
         out = out.withColumn(f"__in_{name}", (above + below) == 0)
     bars, inside = [], []
-    for name, by in (("v", BY_ROW), ("h", BY_COLUMN)):
+    for name, by in (("v", by_row()), ("h", by_column())):
         every = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         for shift, end in ((F.lag, F.first), (F.lead, F.last)):
             at = shift(f"__{name}", radius).over(by)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dustline import profile as P
-from dustline.operators.analysis import BY_COLUMN, BY_ROW
+from dustline.operators.analysis import by_column, by_row
 
 RUN = "frame_id string, part string, y int, x0 int, x1 int"
 
@@ -97,17 +97,17 @@ def capped_distance(df: DataFrame, column: str, cap: int = P.FEATHER) -> DataFra
     """The same up to a small cap, by as many rounds of 3 x 3 minima (window expressions)."""
     out = df.withColumn("__k", F.col(column).cast("int")).withColumn("distance", F.col("__k"))
     for _ in range(cap - 1):
-        out = out.withColumn("__k", F.min("__k").over(BY_COLUMN.rowsBetween(-1, 1)))
-        out = out.withColumn("__k", F.min("__k").over(BY_ROW.rowsBetween(-1, 1)))
+        out = out.withColumn("__k", F.min("__k").over(by_column().rowsBetween(-1, 1)))
+        out = out.withColumn("__k", F.min("__k").over(by_row().rowsBetween(-1, 1)))
         out = out.withColumn("distance", F.col("distance") + F.col("__k"))
     return out.drop("__k")
 
 
 def dilate(df: DataFrame, column: str, margin: int = P.ROUTING_MARGIN) -> DataFrame:
     """Adds dilated: a set pixel lies within `margin` rows and columns. Down first, then across."""
-    v = F.max(F.col(column).cast("int")).over(BY_COLUMN.rowsBetween(-margin, margin))
+    v = F.max(F.col(column).cast("int")).over(by_column().rowsBetween(-margin, margin))
     out = df.withColumn("__v", v)
-    return out.withColumn("dilated", F.max("__v").over(BY_ROW.rowsBetween(-margin, margin)) == 1).drop("__v")
+    return out.withColumn("dilated", F.max("__v").over(by_row().rowsBetween(-margin, margin)) == 1).drop("__v")
 
 
 def region_table(mask: DataFrame, lab: DataFrame, min_area: int = P.ROUTING_MIN_AREA, min_radius: int = P.ROUTING_MIN_RADIUS) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from dustline import profile as P
 from dustline.functions.pixel import asymmetric_dead_zone, d
-from dustline.operators.analysis import BY_COLUMN, BY_ROW
+from dustline.operators.analysis import by_column, by_row
 
 PLANES = ("score", "sa", "sr", "sg", "sb")
 REACH = 4
@@ -51,10 +51,10 @@ def vertical(pad: DataFrame, planes: tuple[str, ...] = PLANES) -> DataFrame:
     for p in planes:
         order = (-1, 0, 1, -2, 2, -3, 3, -4, 4)
         for n in (3, 5, 7, 9):
-            out[f"{p}_{n}"] = _sum([_at(p, k, BY_COLUMN) for k in order[:n]]).cast("float")
-        out[f"{p}_b"] = (_sum([_at(p, -1, BY_COLUMN), F.col(p), _at(p, 1, BY_COLUMN), F.col(p)]) * P.Q16).cast("float")
+            out[f"{p}_{n}"] = _sum([_at(p, k, by_column()) for k in order[:n]]).cast("float")
+        out[f"{p}_b"] = (_sum([_at(p, -1, by_column()), F.col(p), _at(p, 1, by_column()), F.col(p)]) * P.Q16).cast("float")
         if p in ("sr", "sg", "sb"):
-            out[f"{p}_u"], out[f"{p}_d"] = _at(p, -1, BY_COLUMN), _at(p, 1, BY_COLUMN)
+            out[f"{p}_u"], out[f"{p}_d"] = _at(p, -1, by_column()), _at(p, 1, by_column())
     return pad.withColumns(out)
 
 
@@ -62,11 +62,11 @@ def averages(scratch: DataFrame, planes: tuple[str, ...] = PLANES) -> DataFrame:
     """Averages in double precision: q69, q21 over rounded 9 x 9 and 5 x 5 masks, q16 binomial; for colour planes the binomial goes across first and isn't narrowed in between."""
     out = {}
     for p in planes:
-        at = lambda n, k: _at(f"{p}_{n}", k, BY_ROW)  # noqa: B023, E731
+        at = lambda n, k: _at(f"{p}_{n}", k, by_row())  # noqa: B023, E731
         out[f"{p}_q69"] = _sum([at(5, 4), at(5, -4), at(7, -3), at(7, 3), *[at(9, k) for k in range(-2, 3)]]) * P.Q69
         out[f"{p}_q21"] = _sum([at(3, 2), at(3, -2), at(5, -1), at(5, 0), at(5, 1)]) * P.Q21
         if p in ("sr", "sg", "sb"):
-            rows = [_sum([_at(c, -1, BY_ROW), _at(c, 1, BY_ROW), F.col(c), F.col(c)]) for c in (f"{p}_u", p, f"{p}_d")]
+            rows = [_sum([_at(c, -1, by_row()), _at(c, 1, by_row()), F.col(c), F.col(c)]) for c in (f"{p}_u", p, f"{p}_d")]
             out[f"{p}_q16"] = (rows[0] + rows[1] + rows[1] + rows[2]) * P.Q16
         else:
             out[f"{p}_q16"] = _sum([at("b", 0), at("b", -1), at("b", 1), at("b", 0)])
@@ -91,7 +91,7 @@ def band_ranges(feat: DataFrame, cross: bool = True) -> DataFrame:
     """Least and greatest change between lanes, at the pixel or also at its four neighbours; beyond the sides a neighbour's lanes are zero."""
     places = [lambda c: F.col(c)]
     if cross:
-        places += [lambda c, k=k, by=by: _at(c, k, by) for by in (BY_ROW, BY_COLUMN) for k in (-1, 1)]
+        places += [lambda c, k=k, by=by: _at(c, k, by) for by in (by_row(), by_column()) for k in (-1, 1)]
     lanes = {f"{c}_{i}": get(c) for c in LANES for i, get in enumerate(places)}
     out = feat.withColumns(lanes)
     ranges = {}
@@ -153,12 +153,12 @@ def kernel_candidate(planes: DataFrame, kernel: list[tuple[int, int, float]], va
     """
     f = lambda c: c.cast("float")
     rows = sorted({dy for dy, _, _ in kernel})
-    out = planes.withColumns({f"__s{i}": _at("score", dy, BY_COLUMN) for i, dy in enumerate(rows)} | {f"__v{i}": _at(value, dy, BY_COLUMN) for i, dy in enumerate(rows)})
+    out = planes.withColumns({f"__s{i}": _at("score", dy, by_column()) for i, dy in enumerate(rows)} | {f"__v{i}": _at(value, dy, by_column()) for i, dy in enumerate(rows)})
     num = den = F.lit(0.0).cast("float")
     for dy, dx, w in kernel:
         i = rows.index(dy)
-        s = f(_at(f"__s{i}", dx, BY_ROW)) * F.lit(w).cast("float")
-        num, den = f(num + f(s * f(_at(f"__v{i}", dx, BY_ROW)))), f(den + s)
+        s = f(_at(f"__s{i}", dx, by_row())) * F.lit(w).cast("float")
+        num, den = f(num + f(s * f(_at(f"__v{i}", dx, by_row())))), f(den + s)
     names = planes.columns
     got = out.select(*names, num.alias("num"), den.alias("den"))
     return got.withColumn("candidate", F.when(F.col("den") > 0, F.col("num") / F.col("den")).otherwise(F.col("num") if policy == "sum" else F.lit(0.0)).cast("float"))

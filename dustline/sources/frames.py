@@ -202,3 +202,15 @@ def read_manifest(text: str, keys: set[str]) -> dict:
     if set(got) != keys:
         raise ValueError(f"manifest keys must be {sorted(keys)}")
     return got
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir); only where a session names none, as in tests, a local one."""
+    import tempfile
+    import uuid
+
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at:
+        at = tempfile.mkdtemp(prefix="dustline-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
