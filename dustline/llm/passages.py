@@ -147,7 +147,7 @@ def confirmed(claimed: DataFrame, texts: DataFrame, least: int, percent: int) ->
     """
     lots = claimed.groupBy("hub").agg(F.ceil(F.count("*") / LOT).alias("lots"))
     dealt = claimed.join(lots, "hub").withColumn("lot", F.pmod(F.xxhash64("doc_id", "pos"), F.col("lots")).cast("int")).drop("lots")
-    hubs = claimed.join(lots, "hub").select("hub", F.explode(F.expr("sequence(0, cast(lots - 1 AS int))")).alias("lot")).distinct()
+    hubs = lots.select("hub", F.explode(F.expr("sequence(0, cast(lots - 1 AS int))")).alias("lot"))
     hubs = hubs.join(texts.select(F.col("doc_id").alias("hub"), "text"), "hub")
     none = [F.lit(None).cast(t).alias(n) for n, t in (("doc_id", "bigint"), ("kind", "tinyint"), ("hub_pos", "int"), ("hub_len", "int"), ("pos", "int"), ("len", "int"), ("before", "int"))]
     names = ["hub", "lot", "role", "doc_id", "kind", "hub_pos", "hub_len", "pos", "len", "before", "text"]
@@ -203,10 +203,11 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, percent: int = PERCEN
     kept is true where the passage stays (its keeper). component is the passage's number: that of its keeper's place.
     """
     docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = units(docs, least)
+    found = table(units(docs, least))
     first = found.groupBy("key").agg(F.min(F.struct("doc_id", "pos", "len")).alias("hub"), F.max("doc_id").alias("last")).where("hub.doc_id <> last")
     matched = found.join(first.select("key", "hub"), "key").where("doc_id <> hub.doc_id")
     matched = table(matched.select("doc_id", "pos", "len", "kind", F.col("hub.doc_id").alias("hub"), F.col("hub.pos").alias("hub_pos"), F.col("hub.len").alias("hub_len")))
+    drop_table(found)
     ids = matched.select("doc_id").union(matched.select("hub")).distinct()
     texts = table(docs.join(ids, "doc_id", "left_semi"))
     claimed = table(claims(matched, texts))
