@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from dustline import profile as P
 from dustline.functions import pixel as X
 from dustline.operators.regions import capped_distance
+from dustline.sources.frames import cut
 
 Fill = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
@@ -102,8 +103,9 @@ def composite(source: DataFrame, synth: DataFrame, final: DataFrame, fill: Fill
     px = source.join(synth.select("frame_id", "y", "x", "synth"), ["frame_id", "y", "x"])
     crop = crops(px, box.drop("y0", "x0", "y1", "x1", "n_pixels"))
     crop = crop.join(final.withColumnRenamed("final", "__own"), ["frame_id", "y", "x"], "left").withColumn("own", F.coalesce(F.col("__own") == F.col("final"), F.lit(False))).drop("__own")
-    ranges = context_ranges(crop)
-    alpha = feather(final, size)
+    crop = cut(crop)
+    ranges = cut(context_ranges(crop))
+    alpha = cut(feather(final, size))
     made = filled(crop, ranges, fill).join(ranges, ["frame_id", "final"]).join(alpha.select("frame_id", "y", "x", "alpha"), ["frame_id", "y", "x"])
     made = made.select("frame_id", "y", "x", "alpha", *[X.decode16(F.col(f"g8_{c}"), F.col(f"lo_{c}"), F.col(f"hi_{c}")).alias(f"m_{c}") for c in "rgb"])
     image = source.join(made, ["frame_id", "y", "x"], "left")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from dustline import profile as P
 from dustline.operators.analysis import by_column, by_row
+from dustline.sources.frames import cut
 
 RUN = "frame_id string, part string, y int, x0 int, x1 int"
 
@@ -210,12 +211,12 @@ def require_budget(c: DataFrame, limit: str = P.ROUTING_MAX_FRACTION) -> DataFra
 
 def route(mask: DataFrame, limit: str = P.ROUTING_MAX_FRACTION, **policy) -> dict[str, DataFrame]:
     """All tables of a routing: labels, regions, synth, final, finals, census."""
-    mask = guarded(mask.select("frame_id", "y", "x", "mask"))
+    mask = cut(guarded(mask.select("frame_id", "y", "x", "mask")))
     sizes = {k: policy[k] for k in ("min_area", "min_radius") if k in policy}
-    lab = labels(mask)
-    table = region_table(mask, lab, **sizes)
-    synth = synthesis(mask, lab, table, policy.get("margin", P.ROUTING_MARGIN))
-    final = final_labels(synth)
-    pairs = overlaps(synth, final)
-    disposed = dispositions(table, pairs)
+    lab = cut(labels(mask))
+    table = cut(region_table(mask, lab, **sizes))
+    synth = cut(synthesis(mask, lab, table, policy.get("margin", P.ROUTING_MARGIN)))
+    final = cut(final_labels(synth))
+    pairs = cut(overlaps(synth, final))
+    disposed = cut(dispositions(table, pairs))
     return {"labels": lab, "regions": disposed, "synth": synth, "final": final, "pairs": pairs, "finals": final_table(synth, final, disposed, pairs), "census": within_budget(census(synth, disposed), limit)}

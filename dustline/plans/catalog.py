@@ -45,7 +45,7 @@ def px(spark, sf):
 
 
 def scored(spark, sf):
-    return analysis.analysed(px(spark, sf))
+    return frames.cut(analysis.analysed(px(spark, sf)))
 
 
 def decided(spark, sf):
@@ -57,7 +57,7 @@ def latched(spark, sf):
 
 
 def mask(spark, sf):
-    return scored(spark, sf).select("frame_id", "y", "x", X.at_floor(F.col("score")).alias("mask"))
+    return frames.cut(scored(spark, sf).select("frame_id", "y", "x", X.at_floor(F.col("score")).alias("mask")))
 
 
 def feat(spark, sf):

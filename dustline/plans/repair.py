@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from dustline.operators import analysis, banded, stencil, writer
+from dustline.sources.frames import cut
 
 
 def stages(px: DataFrame, engine: str = "banded") -> dict[str, DataFrame]:
@@ -13,9 +14,9 @@ def stages(px: DataFrame, engine: str = "banded") -> dict[str, DataFrame]:
     engine: `banded` computes neighbourhoods on arrays, one band of rows at a time; `expr` by window expressions. They agree bit for bit.
     """
     work = analysis.working(px)
-    rows = analysis.calibration(analysis.latch(work))
-    scored = analysis.weighted_planes(analysis.score_plane(analysis.auxiliary_plane(work, rows)))
-    decided = analysis.eligible(analysis.decision(scored))
+    rows = cut(analysis.calibration(analysis.latch(work)))
+    scored = cut(analysis.weighted_planes(analysis.score_plane(analysis.auxiliary_plane(work, rows))))
+    decided = cut(analysis.eligible(analysis.decision(scored)))
     starts = banded.startups(scored, rows)
     sites = {"banded": banded, "expr": stencil}[engine].reconstruction(scored, decided)
     return {"rows": rows, "scored": scored, "decided": decided, "starts": starts, "sites": sites, "values": writer.written(sites, starts)}

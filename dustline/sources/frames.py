@@ -214,3 +214,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         at = tempfile.mkdtemp(prefix="dustline-")
         spark.conf.set("spark.checkpoint.dir", at)
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A table in the shared folder, reread: what several later steps use is computed once, and a lost executor costs a reread."""
+    path = shared_folder(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
