@@ -5,14 +5,15 @@ words (the whole sequence if it has fewer). Documents whose sets agree in at lea
 components of links are groups, named by their smallest doc_id.
 
 1. Documents with equal sets form a class; its smallest doc_id stands for it from here on, so exact copies cost nothing more.
-2. 128 MinHash samples make 32 bands of 4 (a pair at the threshold is missed by all of them once in 200,000 times, one at 0.8
-   once in 20 million) and an odd sketch: a bitmap of 512 bits in which each (sample, value) flips a bit, so that the population count of
-   two bitmaps' XOR tells how many samples differ. A pair over the count that lies six deviations above that of the
-   threshold goes; this is a condition of a join, in the JVM.
+2. Of 256 MinHash samples 128 make 32 bands of 4 (a pair at the threshold is missed by all of them once in 200,000 times, one at 0.8
+   once in 20 million), and all make an odd sketch: a bitmap of 1024 bits in which each (sample, value) flips a bit, so that the population count of
+   two bitmaps' XOR tells how many samples differ. A pair over the count that lies 4.5 deviations above that of the
+   threshold (one in 300,000 pairs at the threshold) goes; this is a condition of a join, in the JVM.
 3. Each bucket links its members to its first one (a star, so a bucket of n gives n pairs, not n squared). Pairs
-   are confirmed on the full sets. Buckets that then hold several components get stars around other members, and at last, once
-   few pairs across components are left, each such pair is compared. So every pair of a bucket is either
-   confirmed, refuted on the full sets or the sketches, or already in one component; no bucket is capped.
+   are confirmed on the full sets. Where buckets then hold several components and very many pairs across them, they get stars around other members.
+4. Members of buckets that still hold several components get a larger odd sketch (1024 samples, 4096 bits) and are compared across components, in
+   blocks of bounded size; only pairs within four deviations leave a block, once each, and are confirmed. So every pair of a bucket is either
+   confirmed, refuted by the full sets or a sketch, or already in one component; no bucket is capped.
 
 Rows: null, empty and blank texts have an empty set, are linked with nothing and stay; rows without doc_id are returned with no component and stay;
 rows that share a doc_id are one document with the links of each; long texts count whole; an empty table gives an empty one.
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from dustline.llm.common import U, Words, components, drop_table, jaccard_parts, mix, pieces, table
 
-SAMPLES, ROWS, LONGS = 128, 4, 8
+SAMPLES, BANDED, ROWS, LONGS = 256, 128, 4, 16
 #: Members that one hub is compared with in one place; a larger group has its hub in several.
 SALT = 256
 _rng = np.random.default_rng(90210)
@@ -38,12 +39,12 @@ _XOR = _rng.integers(0, 2**64, SAMPLES, dtype=U)[:, None]
 _MUL = (_rng.integers(0, 2**64, SAMPLES, dtype=U) | U(1))[:, None]
 
 
-def minhash(shingles: np.ndarray) -> np.ndarray:
+def minhash(shingles: np.ndarray, xor: np.ndarray = _XOR, mul: np.ndarray = _MUL, step: int = 1024) -> np.ndarray:
     """The samples of a set that isn't empty."""
-    low = np.full(SAMPLES, U(2**64 - 1))
+    low = np.full(len(xor), U(2**64 - 1))
     with np.errstate(over="ignore"):
-        for at in range(0, len(shingles), 2048):
-            np.minimum(low, ((shingles[None, at : at + 2048] ^ _XOR) * _MUL).min(axis=1), out=low)
+        for at in range(0, len(shingles), step):
+            np.minimum(low, ((shingles[None, at : at + step] ^ xor) * mul).min(axis=1), out=low)
     return low
 
 
@@ -65,7 +66,7 @@ def odd_sketch(samples: np.ndarray, longs: int = LONGS) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view("<u8")
 
 
-def most_bits(similarity: float, samples: int = SAMPLES, bits: int = 64 * LONGS, deviations: float = 6.0) -> int:
+def most_bits(similarity: float, samples: int = SAMPLES, bits: int = 64 * LONGS, deviations: float = 4.5) -> int:
     """The XOR population count so many deviations above that of two sets of this similarity.
 
     d samples differ: 2 d bits are flipped, of which bits / 2 * (1 - exp(-4 d / bits)) are odd; d is binomial.
@@ -83,6 +84,71 @@ def similarity_of_bits(count: int, samples: int = SAMPLES, bits: int = 64 * LONG
 
 
 SKETCH = [f"o{i}" for i in range(LONGS)]
+#: Samples and bits of the larger sketch, and members that are compared at a time.
+FINE, FINE_BITS, BLOCK = 1024, 4096, 1024
+_fine = np.random.default_rng(60607)
+_FINE_XOR = _fine.integers(0, 2**64, FINE, dtype=U)[:, None]
+_FINE_MUL = (_fine.integers(0, 2**64, FINE, dtype=U) | U(1))[:, None]
+
+
+def fine_sketches(texts: DataFrame) -> DataFrame:
+    """(id, n, fine): the larger odd sketch of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch):
+                n, out = [], []
+                for t in part.column("text").to_pylist():
+                    s = Words(t).shingles()
+                    n.append(len(s))
+                    out.append(odd_sketch(minhash(s, _FINE_XOR, _FINE_MUL, 256), FINE_BITS // 64).tobytes() if len(s) else bytes(FINE_BITS // 8))
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int32()), pa.array(out, pa.binary())], names=["id", "n", "fine"])
+
+    return texts.select("id", "text").mapInArrow(run, "id bigint, n int, fine binary")
+
+
+def across(rest: DataFrame, own: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of ids in one bucket but different components whose larger sketches allow the similarity; each pair leaves the smallest key that both have.
+
+    rest: (key, id, component, main, members). Buckets of up to BLOCK members are packed together, larger ones cut into blocks that meet pairwise.
+    """
+    ids = rest.select("id").distinct()
+    fine = fine_sketches(texts.join(ids, "id", "left_semi")).join(own.select("id", "keys"), "id")
+    limit = most_bits(percent / 100, FINE, FINE_BITS, 4.0)
+    few = F.col("members") <= BLOCK
+    packs = max(1, rest.count() // (4 * BLOCK))
+    rows = rest.withColumns({"large": ~few, "blocks": F.when(few, 1).otherwise(F.ceil(F.col("members") / BLOCK)).cast("int"), "pack": F.when(few, F.pmod(F.xxhash64("key"), F.lit(packs))).otherwise(F.col("key"))})
+    rows = rows.join(fine, "id").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    cols = ["large", "pack", "i", "j", "side", "key", "id", "component", "main", "n", "fine", "keys"]
+    left = rows.withColumns({"i": F.col("own"), "j": F.explode(F.expr("sequence(own, blocks - 1)")), "side": F.lit(0)}).select(cols)
+    right = rows.where("large").withColumns({"i": F.explode(F.expr("sequence(0, own)")), "j": F.col("own"), "side": F.lit(1)}).where("i < j").select(cols)
+
+    def compare(block: pa.Table) -> pa.Table:
+        key, ids, comp, main, n, side = (block.column(c).to_numpy() for c in ("key", "id", "component", "main", "n", "side"))
+        bits = np.frombuffer(b"".join(block.column("fine").to_pylist()), "<u8").reshape(len(ids), -1)
+        keys = block.column("keys").combine_chunks()
+        at, flat = np.asarray(keys.offsets), np.asarray(keys.flatten())
+        a, b = [], []
+        order = np.argsort(key, kind="stable")
+        for m in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+            two = side[m].any()
+            x, y = (m[side[m] == 0], m[side[m] == 1]) if two else (m, m)
+            for i in x:
+                js = y[(comp[y] != comp[i]) & ((comp[i] != main[i]) | (comp[y] != main[y]))]
+                if not two:
+                    js = js[ids[js] > ids[i]]
+                js = js[np.minimum(n[js], n[i]).astype(np.int64) * 100 >= np.maximum(n[js], n[i]).astype(np.int64) * percent]
+                if not len(js):
+                    continue
+                js = js[np.bitwise_count(bits[js] ^ bits[i]).sum(axis=1) <= limit]
+                mine = flat[at[i] : at[i + 1]]
+                for j in js:
+                    if np.intersect1d(mine, flat[at[j] : at[j + 1]])[0] == key[i]:
+                        a.append(min(ids[i], ids[j]))
+                        b.append(max(ids[i], ids[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return left.union(right).groupBy("large", "pack", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -103,7 +169,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     with np.errstate(over="ignore"):
                         names.append((int(s.sum(dtype=U).view(np.int64)), int(mix(s + U(0xA0761D6478BD642F)).sum(dtype=U).view(np.int64))))
                     m = minhash(s)
-                    keys.append(band_keys(m).view(np.int64))
+                    keys.append(band_keys(m[:BANDED]).view(np.int64))
                     odd.append(odd_sketch(m).view(np.int64))
                 names, odd = np.array(names, np.int64).reshape(-1, 2), np.array(odd, np.int64).reshape(-1, LONGS)
                 flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
@@ -162,7 +228,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return out
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, stars: int = 3, few: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, stars: int = 2, few: int = 200) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text).
 
     stars: star rounds after the first, at most; they end once pairs across components number fewer than `few` times the documents.
@@ -203,10 +269,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, stars: int = 3, few: int
         if not work:
             break
         if work <= few * total + 100_000 or turn == stars:
-            side = rest.join(sketch, "id")
-            stray = side.where("component <> main").alias("a")
-            pairs = stray.join(side.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("b.main")) | (F.col("a.id") < F.col("b.id"))) & alike(percent))
-            more = confirmed(pairs.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct(), texts, percent)
+            more = confirmed(across(rest, own, texts, percent), texts, percent)
             links = links.union(more)
             group = table(components(links))
             break
