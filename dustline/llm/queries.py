@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 NAMES = {
     "op1_toxicity": "toxicity",
+    "op2_quotation_linking": "quotation",
     "op3_byte_bpe": "byte_bpe",
     "op4_passages": "passages",
     "op5_near_dup": "near_dup",
