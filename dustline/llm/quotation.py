@@ -197,8 +197,8 @@ def climb(now: DataFrame, adds: list[str], below: str | None = None) -> DataFram
         moved = going.select("id", F.col("__anc").alias("anc"), *[(F.col(c) + F.col(f"__{c}")).alias(c) for c in adds], *([below] if below else []))
         after = moved.unionByName(now.where("anc IS NULL").select(*moved.columns))
         if below:
-            more = now.where("anc IS NOT NULL").groupBy(F.col("anc").alias("__id")).agg(F.sum(below).alias("__more"))
-            after = after.join(more, F.col("id") == F.col("__id"), "left").withColumn(below, F.col(below) + F.coalesce("__more", F.lit(0))).drop("__id", "__more")
+            more = now.where("anc IS NOT NULL").select(F.col("anc").alias("id"), below)
+            after = after.unionByName(more, allowMissingColumns=True).groupBy("id").agg(F.max("anc").alias("anc"), *[F.max(c).alias(c) for c in adds], F.sum(below).alias(below))
         after = table(after)
         drop_table(now)
         now = after
