@@ -2,8 +2,10 @@
 
 fit() learns centroids and codebooks on a bounded sample (SAMPLE rows by a hash of vec_id) and chooses, on that sample, how
 many lists to probe and how many candidates to rerank: the fewest that keep `recall` of the sample's true neighbours. index() codes every row.
-search() sends each query to its lists, scans a list's codes in blocks by a table of distances, keeps each query's best of each block, merges
-them, and reranks by distances of the original vectors in double precision. audit() measures recall against brute force.
+search() sends each query to its lists with a reach: as the sample's rows are rows of the index, no candidate beyond the last place that
+the sample alone fills can come into the query's best, so blocks give back only what lies within it. A list's codes are scanned in blocks by a
+table of distances; each block gives a query's best as one packed row; these are merged for each query and reranked by distances of the
+original vectors in double precision. audit() measures recall against brute force.
 
 Rows: vectors that are null, zero, of another length than most of the sample's, or hold null or non-finite components take no part, as query or
 candidate; rows without id neither. Equal distances go to the smaller id. With fewer candidates than asked, all are returned. Repeated rows (an id twice) count once, with the
@@ -57,7 +59,9 @@ class Quantizer:
         edges = np.linspace(0, self.dim, min(parts, self.dim) + 1).astype(int)
         self.edges = list(zip(edges[:-1], edges[1:]))
         self.books = [kmeans(rest[:, a:b], 256, rng) for a, b in self.edges]
-        self._tune(x, own, neighbours, recall, rng)
+        codes = self.encode(x)[1]
+        self.held = [codes[own == lst] for lst in range(len(self.coarse))]
+        self._tune(x, own, codes, neighbours, recall, rng)
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = x.astype(np.float32)
@@ -80,7 +84,21 @@ class Quantizer:
             out += squared(rest[:, a:b], self.books[i])[:, codes[:, i]]
         return out
 
-    def _tune(self, x, own, neighbours, recall, rng) -> None:
+    def reach(self, q: np.ndarray, lists: np.ndarray) -> np.ndarray:
+        """For each query the distance by code within which `depth` rows besides its own lie, in its lists, of the sample alone; infinite if fewer do. A little is added for rounding."""
+        out = np.full(len(q), np.inf, np.float32)
+        at = np.cumsum([0] + [len(c) for c in self.held])
+        if at[-1] <= self.depth:
+            return out
+        for s in range(0, len(q), 128):
+            far = np.full((len(q[s : s + 128]), at[-1]), np.inf, np.float32)
+            for lst in np.unique(lists[s : s + 128]):
+                who = np.flatnonzero((lists[s : s + 128] == lst).any(1))
+                far[who, at[lst] : at[lst + 1]] = self.scan(q[s : s + 128][who], lst, self.held[lst])
+            out[s : s + 128] = np.partition(far, self.depth, axis=1)[:, self.depth]
+        return out * np.float32(1.0001) + np.float32(1e-6)
+
+    def _tune(self, x, own, codes, neighbours, recall, rng) -> None:
         """Probes: as many lists as hold `recall` of a sample's true neighbours; depth: the rank by code that as many of them reach, doubled and scaled by nothing else, as more rows move ranks and true neighbours alike."""
         q = rng.choice(len(x), min(256, len(x)), replace=False)
         d = squared(x[q], x)
@@ -95,7 +113,6 @@ class Quantizer:
         np.put_along_axis(place, order, np.arange(order.shape[1])[None], 1)
         want = 1 - (1 - recall) / 2
         self.probes = int(np.quantile(np.take_along_axis(place, own[true], 1), want)) + 1
-        codes = self.encode(x)[1]
         far = np.empty((len(q), len(x)), np.float32)
         for lst in range(len(self.coarse)):
             rows = np.flatnonzero(own == lst)
@@ -151,11 +168,15 @@ def search(rows: DataFrame, queries: DataFrame, quantizer: Quantizer | None, nei
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                lists = sent.value.nearest_lists(matrix(batch.column("v")), sent.value.probes)
-                i = np.repeat(np.arange(batch.num_rows), lists.shape[1])
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(i)), batch.column("v").take(pa.array(i)), pa.array(lists.ravel().astype(np.int32))], names=["id", "v", "list"])
-
-    probed = queries.select("id", "v").mapInArrow(probe, "id bigint, v array<double>, list int")
+                q = matrix(batch.column("v"))
+                lists = sent.value.nearest_lists(q, sent.value.probes)
+                reach = sent.value.reach(q, lists)
+                for s in range(0, len(q), QUERY_BLOCK):
+                    part = lists[s : s + QUERY_BLOCK]
+                    i = s + np.repeat(np.arange(len(part)), part.shape[1])
+                    yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(i)), batch.column("v").take(pa.array(i)), pa.array(part.ravel().astype(np.int32)), pa.array(reach[i])], names=["id", "v", "list", "reach"])
+
+    probed = queries.select("id", "v").mapInArrow(probe, "id bigint, v array<double>, list int, reach float")
     # blocks of a list's rows meet blocks of its queries; counts by list have `lists` rows at most
     blocks = codes.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("rb"))
     qblocks = probed.groupBy("list").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("qb"))
@@ -164,24 +185,32 @@ def search(rows: DataFrame, queries: DataFrame, quantizer: Quantizer | None, nei
     right = probed.join(F.broadcast(dealt), "list").withColumn("q", F.pmod(F.xxhash64("id"), "qb").cast("int")).withColumn("r", F.explode(F.expr("sequence(0, rb - 1)")))
 
     def scan(key, a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            return pa.table({"id": pa.array([], pa.int64()), "near": pa.array([], pa.list_(pa.struct([("d", pa.float32()), ("id", pa.int64())])))})
-        quant = sent.value
-        c = np.frombuffer(b"".join(a.column("code").to_pylist()), np.uint8).reshape(a.num_rows, -1)
-        ids = a.column("id").to_numpy()
-        q = matrix(b.column("v"))
-        near = []
-        for s in range(0, len(q), 128):
-            d = quant.scan(q[s : s + 128], key[0].as_py(), c)
-            best = np.argpartition(d, depth - 1, axis=1)[:, :depth] if d.shape[1] > depth else np.broadcast_to(np.arange(d.shape[1]), d.shape)
-            for row, at in zip(d, best):
-                near.append([{"d": x, "id": y} for x, y in zip(row[at].tolist(), ids[at].tolist())])
-        return pa.table({"id": b.column("id"), "near": pa.array(near, pa.list_(pa.struct([("d", pa.float32()), ("id", pa.int64())])))})
-
-    near = left.select("list", "r", "q", "id", "code").groupBy("list", "r", "q").cogroup(right.select("list", "r", "q", "id", "v").groupBy("list", "r", "q")).applyInArrow(scan, "id bigint, near array<struct<d: float, id: bigint>>")
-    flat = near.select(F.col("id").alias("query_id"), F.explode("near").alias("n")).select("query_id", "n.d", "n.id").where("id <> query_id")
+        out = {"id": [], "d": [], "near": []}
+        if a.num_rows and b.num_rows:
+            a = a.sort_by("id")  # so that of equal distances the smaller ids are kept
+            c = np.frombuffer(b"".join(a.column("code").to_pylist()), np.uint8).reshape(a.num_rows, -1)
+            ids, q, reach = a.column("id").to_numpy(), matrix(b.column("v")), b.column("reach").to_numpy()
+            own = b.column("id").to_pylist()
+            for s in range(0, len(q), 128):
+                for row, to, name in zip(sent.value.scan(q[s : s + 128], key[0].as_py(), c), reach[s : s + 128], own[s : s + 128]):
+                    at = np.flatnonzero((row <= to) & (ids != name))
+                    at = at[np.argsort(row[at], kind="stable")[:depth]]
+                    if len(at):
+                        out["id"].append(name)
+                        out["d"].append(row[at].tobytes())
+                        out["near"].append(ids[at].astype(np.int64).tobytes())
+        return pa.table(out, pa.schema([("id", pa.int64()), ("d", pa.binary()), ("near", pa.binary())]))
+
+    def merge(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        d = np.frombuffer(b"".join(t.column("d").to_pylist()), np.float32)
+        ids = np.frombuffer(b"".join(t.column("near").to_pylist()), np.int64)
+        ids = ids[np.lexsort((ids, d))[:depth]]
+        return pa.table({"query_id": pa.array(np.full(len(ids), key[0].as_py(), np.int64)), "id": pa.array(ids)})
+
+    near = left.select("list", "r", "q", "id", "code").groupBy("list", "r", "q").cogroup(right.select("list", "r", "q", "id", "v", "reach").groupBy("list", "r", "q")).applyInArrow(scan, "id bigint, d binary, near binary")
+    # a query's packed rows are at most its lists' blocks, each of at most `depth` entries
+    best = near.groupBy("id").applyInArrow(merge, "query_id bigint, id bigint")
     by = Window.partitionBy("query_id")
-    best = flat.withColumn("k", F.row_number().over(by.orderBy("d", "id"))).where(F.col("k") <= depth).select("query_id", "id")
     exact = best.join(rows.select("id", F.col("v").alias("b")), "id").join(queries.select(F.col("id").alias("query_id"), F.col("v").alias("a")), "query_id")
     gap = F.sqrt(F.aggregate(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
     exact = exact.select("query_id", F.col("id").alias("vec_id"), gap.alias("score"))
