@@ -1,9 +1,9 @@
 """Byte-level BPE by the tiktoken library: encoding of whole texts to packed ids and decoding of ids to raw bytes.
 
-Null, empty and long texts: a null text is an empty one and has no ids. Texts are cut before a space that follows
-a visible character; the pattern never matches across such a place, so the pieces' ids are those of the whole text,
-whatever its length. Encodings of pieces are remembered up to a fixed number of entries. Repeated rows are encoded alike, an empty table gives
-an empty one, and input columns that clash with the output's names are replaced.
+Null, empty and long texts: a null text is an empty one and has no ids. Long texts are cut about every CHUNK characters before
+a space that follows a visible character; the pattern never matches across such a place, so the chunks' ids are those of the
+whole text, whatever its length. Repeated rows are encoded alike, an empty table gives an empty one, and input columns that clash
+with the output's names are replaced.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Entries that a worker remembers (about 150 bytes each) and the longest piece that it remembers.
-REMEMBERED, REMEMBERED_BYTES = 200_000, 64
+#: Characters after which a text is cut at the next safe place.
+CHUNK = 16_384
 
 
 def default_ranks() -> tuple[bytes, str]:
@@ -35,41 +35,29 @@ def encoding(ranks: bytes, pattern: str):
     return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
 
-def safe_pieces(text: str) -> list[str]:
+def safe_chunks(text: str, size: int = CHUNK) -> Iterator[str]:
     """Cuts before spaces that follow a visible character. Only characters that surely are none of the pattern's white space count as visible."""
-    parts = text.split(" ")
-    out, held = [], parts[0]
-    add = out.append
-    for p in parts[1:]:
-        last = held[-1:]
-        if ("!" <= last <= "~") or last.isalnum():
-            add(held)
-            held = " " + p
-        else:
-            held += " " + p
-    add(held)
-    return out
+    start = 0
+    while len(text) - start > size:
+        at = text.find(" ", start + size)
+        while at > 0 and not ("!" <= text[at - 1] <= "~" or text[at - 1].isalnum()):
+            at = text.find(" ", at + 1)
+        if at < 0:
+            break
+        yield text[start:at]
+        start = at
+    yield text[start:]
 
 
 class Encoder:
     def __init__(self, ranks: bytes, pattern: str):
         self.library = encoding(ranks, pattern)
-        self.known: dict[str, bytes] = {}
-
-    def piece(self, piece: str) -> bytes:
-        ids = np.asarray(self.library.encode_ordinary(piece), dtype="<u4").tobytes()
-        if len(piece) <= REMEMBERED_BYTES:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[piece] = ids
-        return ids
 
     def __call__(self, text: str | None) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        known, made = self.known.get, self.piece
-        return b"".join([known(p) or made(p) for p in safe_pieces(text)])
+        return b"".join([np.asarray(self.library.encode_ordinary(c), dtype="<u4").tobytes() for c in safe_chunks(text)])
 
 
 _made: dict[int, object] = {}
@@ -83,30 +71,35 @@ def _worker(kind, ranks: bytes, pattern: str):
     return _made[key]
 
 
-def encode(df: DataFrame, ranks: bytes | None = None, pattern: str | None = None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def encode(df: DataFrame, ranks: bytes | None = None, pattern: str | None = None, text: str = "text", keep: list[str] | None = None, decoded: bool = False) -> DataFrame:
     """The kept columns (all, if none are named), `n_tokens` and `token_ids` (packed little-endian unsigned 32-bit ids).
 
+    With `decoded` also what the ids decode to, as decode() gives it, by the same worker: a round trip needs one Python process for each task, not two.
+
     The rank file (under 2 MB, whatever the corpus) goes to the executors by broadcast; they read no local file.
     """
     if ranks is None:
         ranks, pattern = default_ranks()
     spark: SparkSession = df.sparkSession
     sent = spark.sparkContext.broadcast((ranks, pattern))
-    keep = [c for c in (df.columns if keep is None else keep) if c not in ("n_tokens", "token_ids")]
+    keep = [c for c in (df.columns if keep is None else keep) if c not in ("n_tokens", "token_ids", *(["decoded"] if decoded else []))]
     whole = df.select(*keep, F.col(text).alias("__text"))
     schema = T.StructType([*whole.select(*keep).schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.BinaryType())])
+    if decoded:
+        schema = schema.add("decoded", T.BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from dustline.llm.common import pieces
 
         encoder = _worker(Encoder, *sent.value)
+        decoder = _worker(Decoder, *sent.value) if decoded else None
         for batch in batches:
             for part in pieces(batch, column="__text"):
                 ids = [encoder(t) for t in part.column("__text").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in keep), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-                    names=[*keep, "n_tokens", "token_ids"],
-                )
+                made = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+                if decoder:
+                    made.append(pa.array([decoder(x) for x in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *made], names=schema.names)
 
     return whole.mapInArrow(run, schema)
 
@@ -149,5 +142,5 @@ def decode(df: DataFrame, ranks: bytes | None = None, pattern: str | None = None
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded bytes of every whole text of documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    both = decode(encode(docs, keep=["doc_id"]))
+    both = encode(docs, keep=["doc_id"], decoded=True)
     return both.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

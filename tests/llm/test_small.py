@@ -25,6 +25,20 @@ def test_bpe_equals_the_library(spark):
         assert bytes(r["decoded"]) == (t or "").encode()
 
 
+def test_long_texts_are_cut_safely_and_decoded_by_the_same_worker(spark):
+    rng, lib = np.random.default_rng(5), byte_bpe.encoding(*byte_bpe.default_ranks())
+    parts = [" ", "  ", "\n", "\t ", "ab", "é", "　", "7", "!?", "'s", "😀", "\x85", "zz "]
+    texts = ["".join(rng.choice(parts, 3000)) for _ in range(20)]
+    for t in texts:
+        chunks = list(byte_bpe.safe_chunks(t, 50))
+        assert "".join(chunks) == t and len(chunks) > 20
+        assert [i for c in chunks for i in lib.encode_ordinary(c)] == lib.encode_ordinary(t)
+    long = docs(spark, [(0, texts[0] * 10, None), (1, "", None), (2, None, None), (3, "x" * 40_000, None)])
+    for r, t in zip(byte_bpe.encode(long, keep=["doc_id"], decoded=True).orderBy("doc_id").collect(), [texts[0] * 10, "", "", "x" * 40_000]):
+        assert np.frombuffer(bytes(r["token_ids"]), "<u4").tolist() == lib.encode_ordinary(t)
+        assert bytes(r["decoded"]) == t.encode() and r["n_tokens"] == len(r["token_ids"]) // 4
+
+
 def test_jump_shards_move_rows_only_into_the_new_one(spark):
     df = docs(spark, [(i, "x", None) for i in range(500)] + [(None, None, None), (7, "x", None)])
     rows = jump_shards.shard(df.select("doc_id", "text"), 10).collect()
