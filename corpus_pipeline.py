@@ -43,7 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, the packed ids and digests of ids and of the bytes that they decode to."""
-    both = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "source", "text"), keep=["doc_id", "source"]))
+    both = byte_bpe.encode(docs.select("doc_id", "source", "text"), keep=["doc_id", "source"], decoded=True)
     return both.select("doc_id", "source", "n_tokens", "token_ids", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
