@@ -4,11 +4,17 @@ Words as in the other operators (runs of other characters than white space, A-Z
 
 - lines of at least `least` words: 20 MinHash samples of their five-word shingles in 10 bands of 2 (a pair of lines at a similarity of
   0.75 is missed once in 4,000 times); colliding lines are confirmed by exact Jaccard similarity >= 0.75.
-- blocks of 32 words that begin where the text itself says: at the MinHash (one permutation) of each run of 20 shingles, so
-  a passage of more than 50 words holds the same block wherever it stands in a line or across lines. Equal blocks collide; at confirmation both
-  texts are compared word by word around them, and equal stretches of at least `least` words count.
+- blocks of 32 words that begin where the text itself says: at the MinHash (one permutation) of the first run of shingles of each window of
+  `least` words, so equal windows hold the same block at the same place wherever they stand in a line or across lines. Equal blocks collide; at
+  confirmation both texts are compared word by word around them, and equal stretches of at least `least` words count.
+
+Each bucket links its members to its first one (smallest doc_id, then place), so a passage shared by n documents gives n links. What that leaves is compared too:
+
+- windows of a bucket's blocks that no stretch confirmed with its first place covers (the first place's surroundings differ) meet by the hash of the
+  whole window. Equality is transitive, so there the first place is enough, and as equal windows have the same block, they are covered or left together.
+- lines of a bucket that are in several components are compared across components as in near_dup: stars around other members where very many
+  pairs are left, then all of them by larger sketches in bounded blocks (a pair at exactly 0.75 is missed there once in 30,000 times).
 
-Each bucket links its members to its first one (smallest doc_id, then place), so a passage shared by n documents gives n links.
 Links of lines make components, of which the first line stays; a stretch stays in the document of its first occurrence. What repeats
 within one document only isn't touched.
 
@@ -23,10 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dustline.llm import near_dup
 from dustline.llm.common import U, WORD, Words, components, drop_table, jaccard_parts, mix, pieces, table
 
 LEAST, PERCENT = 50, 75
@@ -39,13 +46,13 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def anchors(shingles: np.ndarray, run: int = RUN) -> np.ndarray:
-    """Places of the last smallest hash of each run of so many shingles."""
+def anchors(shingles: np.ndarray, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the last smallest hash of each run of so many shingles; for each, the first run that has it and how many have it."""
     if len(shingles) < run:
-        return np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 3
     v = np.lib.stride_tricks.sliding_window_view(shingles, run)
     out = [s + np.arange(len(p)) + run - 1 - p[:, ::-1].argmin(axis=1) for s in range(0, len(v), 65_536) for p in (v[s : s + 65_536],)]
-    return np.unique(np.concatenate(out))
+    return np.unique(np.concatenate(out), return_index=True, return_counts=True)
 
 
 def lines(text: str) -> np.ndarray:
@@ -59,29 +66,31 @@ def lines(text: str) -> np.ndarray:
 
 
 def units(docs: DataFrame, least: int) -> DataFrame:
-    """(key, doc_id, pos, len, kind): kind 0 blocks, kind 1 lines, once for each band."""
+    """(key, doc_id, pos, len, kind, win, wins): kind 0 blocks, with the windows of `least` words whose first run they lead; kind 1 lines, once for each band."""
+    span = max(1, min(RUN, least - BLOCK + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = np.arange(1, BANDS + 1, dtype=U) * U(0x9E3779B97F4A7C15)
         for batch in batches:
             for part in pieces(batch):
-                keys, ids, pos, size, kind = [], [], [], [], []
+                keys, ids, pos, size, kind, win, wins = [], [], [], [], [], [], []
 
-                def put(i, k, p, n, what):
+                def put(i, k, p, n, what, at, m):
                     keys.append(k)
                     ids.append(np.full(len(k), i, np.int64))
                     pos.append(p)
                     size.append(n)
                     kind.append(np.full(len(k), what, np.int8))
+                    win.append(at)
+                    wins.append(m)
 
                 for i, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
                     w = Words(t)
-                    if len(w) < BLOCK:
+                    if len(w) < max(BLOCK, least):
                         continue
                     r = w.runs(5)
-                    at = anchors(r)
-                    at = at[at + BLOCK <= len(w)]
-                    put(i, w.hashes(at, at + BLOCK - 1), at, np.full(len(at), BLOCK), 0)
+                    at, run_at, n_runs = anchors(r[: len(w) - max(BLOCK, least) + span], span)
+                    put(i, w.hashes(at, at + BLOCK - 1), at, np.full(len(at), BLOCK), 0, run_at, n_runs)
                     for first, n in lines(t):
                         if n >= least:
                             with np.errstate(over="ignore"):
@@ -89,14 +98,15 @@ def units(docs: DataFrame, least: int) -> DataFrame:
                                 k = bands.copy()
                                 for j in range(ROWS):
                                     k = mix(k * U(0xD6E8FEB86659FD93) + low[:, j])
-                            put(i, k, np.full(BANDS, first), np.full(BANDS, n), 1)
+                            put(i, k, np.full(BANDS, first), np.full(BANDS, n), 1, np.zeros(BANDS), np.zeros(BANDS))
                 cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cat(keys, U).view(np.int64)), pa.array(cat(ids, np.int64)), pa.array(cat(pos, np.int32)), pa.array(cat(size, np.int32)), pa.array(cat(kind, np.int8))],
-                    names=["key", "doc_id", "pos", "len", "kind"],
+                    [pa.array(cat(keys, U).view(np.int64)), pa.array(cat(ids, np.int64)), pa.array(cat(pos, np.int32)), pa.array(cat(size, np.int32)), pa.array(cat(kind, np.int8))]
+                    + [pa.array(cat(win, np.int32)), pa.array(cat(wins, np.int16))],
+                    names=["key", "doc_id", "pos", "len", "kind", "win", "wins"],
                 )
 
-    return docs.mapInArrow(run, "key bigint, doc_id bigint, pos int, len int, kind tinyint")
+    return docs.mapInArrow(run, "key bigint, doc_id bigint, pos int, len int, kind tinyint, win int, wins smallint")
 
 
 def _merged(found: list[dict]) -> list[tuple]:
@@ -197,6 +207,117 @@ def confirmed(claimed: DataFrame, texts: DataFrame, least: int, percent: int) ->
     return rows.mapInArrow(run, "doc_id bigint, pos int, len int, hub bigint, hub_pos int, hub_len int, kind tinyint, similarity double").distinct()
 
 
+MATCH = ["doc_id", "pos", "len", "kind", "hub", "hub_pos", "hub_len"]
+
+
+def held_with_hubs(matched: DataFrame, docs: DataFrame, least: int, percent: int) -> DataFrame:
+    """Table of what is confirmed of the matches (MATCH)."""
+    matched = table(matched.select(*MATCH))
+    ids = matched.select("doc_id").union(matched.select("hub")).distinct()
+    texts = table(docs.join(ids, "doc_id", "left_semi"))
+    claimed = table(claims(matched, texts))
+    held = table(confirmed(claimed, texts, least, percent))
+    for t in (matched, texts, claimed):
+        drop_table(t)
+    return held
+
+
+def windows_left(found: DataFrame, first: DataFrame, held: DataFrame, docs: DataFrame, least: int) -> DataFrame:
+    """Matches by whole windows, of those that no stretch confirmed with their bucket's first place covers."""
+    # a bucket of two places has been compared in full
+    places = found.where("kind = 0").join(first.where("places > 2").select("key", "hub"), "key").where("doc_id <> hub.doc_id OR pos <> hub.pos")
+    places = places.select("key", "doc_id", "win", "wins", "pos", F.col("hub.doc_id").alias("h"), (F.col("hub.pos") - F.col("pos")).alias("shift"))
+    ends = held.where("kind = 0").select(F.col("doc_id").alias("d"), F.col("hub").alias("g"), (F.col("hub_pos") - F.col("pos")).alias("by"), F.col("pos").alias("s"), (F.col("pos") + F.col("len")).alias("e"))
+    inside = (F.col("doc_id") == F.col("d")) & (F.col("h") == F.col("g")) & (F.col("shift") == F.col("by")) & (F.col("s") <= F.col("pos")) & (F.col("pos") + BLOCK <= F.col("e"))
+    rest = places.join(ends, inside, "left").where(F.col("s").isNull() | (F.col("win") < F.col("s")) | (F.col("win") + F.col("wins") - 1 + least > F.col("e")))
+    rest = table(rest.select("key", "doc_id", "win", "wins", "s", "e"))
+    several = rest.groupBy("key").agg(F.min("doc_id").alias("one"), F.max("doc_id").alias("other")).where("one <> other").select("key")
+    each = rest.join(several, "key", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("win", "wins", "s", "e")).alias("found"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch):
+                keys, ids, pos = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for i, t, found in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "found"))):
+                    w = Words(t)
+                    at = [np.zeros(0, np.int64)]
+                    for m in found:
+                        k = np.arange(m["win"], m["win"] + m["wins"])
+                        at.append(k if m["s"] is None else k[(k < m["s"]) | (k + least > m["e"])])
+                    at = np.unique(np.concatenate(at))
+                    at = at[at + least <= len(w)]  # others are of another row with this doc_id
+                    keys.append(w.hashes(at, at + least - 1))
+                    ids.append(np.full(len(at), i, np.int64))
+                    pos.append(at)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(pos).astype(np.int32))], names=["key", "doc_id", "pos"])
+
+    windows = table(docs.join(each, "doc_id").select("doc_id", "text", "found").mapInArrow(run, "key bigint, doc_id bigint, pos int"))
+    hubs = windows.groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("hub"), F.max("doc_id").alias("last")).where("hub.doc_id <> last")
+    met = windows.join(hubs.select("key", "hub"), "key").where("doc_id <> hub.doc_id")
+    # windows in a row at one distance from one hub's are one match
+    met = met.select("doc_id", "pos", F.col("hub.doc_id").alias("hub"), (F.col("hub.pos") - F.col("pos")).alias("shift"))
+    met = met.withColumn("row", F.col("pos") - F.dense_rank().over(Window.partitionBy("doc_id", "hub", "shift").orderBy("pos")))
+    met = met.groupBy("doc_id", "hub", "shift", "row").agg(F.min("pos").alias("pos"), (F.max("pos") - F.min("pos") + least).alias("len"))
+    met = table(met.select("doc_id", "pos", "len", F.lit(0).cast("tinyint").alias("kind"), "hub", (F.col("pos") + F.col("shift")).alias("hub_pos"), F.col("len").alias("hub_len")))
+    for t in (rest, windows):
+        drop_table(t)
+    return met
+
+
+def line_texts(places: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, text): the words of each place (doc_id, pos, len)."""
+    each = places.select("doc_id", "pos", "len").distinct().groupBy("doc_id").agg(F.collect_list(F.struct("pos", "len")).alias("found"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, 4 << 20):
+                rows = []
+                for i, t, found in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "found"))):
+                    w = Words(t)
+                    rows += [(i, m["pos"], w.norm[w.starts[m["pos"]] : w.ends[m["pos"] + m["len"] - 1]].decode("utf-8", "surrogatepass")) for m in found if m["pos"] + m["len"] <= len(w)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.string()))], names=["doc_id", "pos", "text"])
+
+    cut = docs.join(each, "doc_id").select("doc_id", "text", "found").mapInArrow(run, "doc_id bigint, pos int, text string")
+    return cut.select(F.xxhash64("doc_id", "pos").alias("id"), "text")
+
+
+def lines_left(found: DataFrame, first: DataFrame, held: DataFrame, docs: DataFrame, least: int, percent: int, stars: int = 2, few: int = 200) -> DataFrame:
+    """held with what else holds between lines of one bucket that are in different components."""
+    # a bucket of two places has been compared in full
+    crowd = table(found.where("kind = 1").join(first.where("places > 2").select("key"), "key", "left_semi").select("key", F.xxhash64("doc_id", "pos").alias("id"), "doc_id", "pos", "len").distinct())
+    for turn in range(stars + 1):
+        similar = held.where("kind = 1")
+        group = components(similar.select(F.xxhash64("doc_id", "pos").alias("a"), F.xxhash64("hub", "hub_pos").alias("b")))
+        placed = crowd.join(group, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        counts = placed.groupBy("key", "component").agg(F.count("*").alias("m"))
+        open_ = counts.groupBy("key").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("members"), F.count("*").alias("kinds")).where("kinds > 1")
+        open_ = open_.select("key", F.col("top.component").alias("main"), "members", (F.col("members") - F.col("top.m")).alias("strays"))
+        rest = table(placed.join(open_, "key"))
+        work, total = rest.select("key", (F.col("strays") * F.col("members")).alias("w")).distinct().agg(F.sum("w"), F.count("*")).first()
+        if not work:
+            break
+        last = work <= few * total + 100_000 or turn == stars
+        place = rest.select("id", "doc_id", "pos", "len").distinct()
+        if last:
+            texts = table(line_texts(place, docs))
+            own = table(crowd.groupBy("id").agg(F.collect_list("key").alias("keys")))
+            pairs = near_dup.across(rest.select("key", "id", "component", "main", "members"), own, texts, percent)
+        else:
+            order = F.xxhash64(F.col("id"), F.lit(turn))
+            hubs = rest.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "component")).alias("star")).select("key", F.col("star.id").alias("b"), F.col("star.component").alias("of"))
+            pairs = rest.join(hubs, "key").where("component <> of").select(F.col("id").alias("a"), "b").distinct()
+        hub = place.select(F.col("id").alias("b"), F.col("doc_id").alias("hub"), F.col("pos").alias("hub_pos"), F.col("len").alias("hub_len"))
+        met = pairs.join(place.withColumnRenamed("id", "a"), "a").join(hub, "b").where("doc_id <> hub").withColumn("kind", F.lit(1).cast("tinyint"))
+        held = held.union(held_with_hubs(met, docs, least, percent))
+        drop_table(rest)
+        if last:
+            drop_table(texts)
+            drop_table(own)
+            break
+    drop_table(crowd)
+    return held
+
+
 def repeated_passages(docs: DataFrame, least: int = LEAST, percent: int = PERCENT) -> DataFrame:
     """One row for each place of a repeated passage: doc_id, first_word, n_words, kept, keeper_doc_id, keeper_word, component, similarity.
 
@@ -204,15 +325,15 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, percent: int = PERCEN
     """
     docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = table(units(docs, least))
-    first = found.groupBy("key").agg(F.min(F.struct("doc_id", "pos", "len")).alias("hub"), F.max("doc_id").alias("last")).where("hub.doc_id <> last")
-    matched = found.join(first.select("key", "hub"), "key").where("doc_id <> hub.doc_id")
-    matched = table(matched.select("doc_id", "pos", "len", "kind", F.col("hub.doc_id").alias("hub"), F.col("hub.pos").alias("hub_pos"), F.col("hub.len").alias("hub_len")))
-    drop_table(found)
-    ids = matched.select("doc_id").union(matched.select("hub")).distinct()
-    texts = table(docs.join(ids, "doc_id", "left_semi"))
-    claimed = table(claims(matched, texts))
-    held = table(confirmed(claimed, texts, least, percent))
-    for t in (matched, texts, claimed):
+    first = found.groupBy("key").agg(F.min(F.struct("doc_id", "pos", "len")).alias("hub"), F.max("doc_id").alias("last"), F.count("*").alias("places")).where("hub.doc_id <> last")
+    first = table(first.select("key", "hub", "places"))
+    matched = found.join(first, "key").where("doc_id <> hub.doc_id")
+    matched = matched.select("doc_id", "pos", "len", "kind", F.col("hub.doc_id").alias("hub"), F.col("hub.pos").alias("hub_pos"), F.col("hub.len").alias("hub_len"))
+    held = held_with_hubs(matched, docs, least, percent)
+    met = windows_left(found, first, held, docs, least)
+    more = held_with_hubs(met, docs, least, percent)
+    held = lines_left(found, first, held, docs, least, percent).union(more)
+    for t in (found, first, met):
         drop_table(t)
     node = lambda d, p: F.xxhash64(d, p)
     # lines: components of similar ones, of which the first stays

@@ -191,3 +191,53 @@ def test_digests_follow_the_ids(spark):
     lib = byte_bpe.encoding(*byte_bpe.default_ranks())
     ids = np.asarray(lib.encode_ordinary("Some words here."), "<u4").tobytes()
     assert hashlib.sha256(byte_bpe.Encoder(*byte_bpe.default_ranks())("Some words here.")).hexdigest() == hashlib.sha256(ids).hexdigest()
+
+
+def test_passages_equal_brute_force_where_the_first_place_differs(spark):
+    rng, least = np.random.default_rng(12), passages.LEAST
+    rows, n = [], 0
+    for g in range(6):  # copies of one text that are edited at places of their own, so that a bucket's first place is often unlike the others there
+        base = words(rng, 240).split()
+        for _ in range(9):
+            t = list(base)
+            for at in rng.integers(0, len(t), int(rng.integers(2, 6))):
+                t[at] = words(rng, 1)
+            rows.append((n, "\n".join(" ".join(t[k : k + 30]) for k in range(0, len(t), 30)), None))
+            n += 1
+    core, left, right = words(rng, 34), words(rng, 15), words(rng, 15)  # documents 900 and 901 share 64 words with each other, under 50 with the first
+    rows += [(800, f"{words(rng, 20)}\n{core}\n{words(rng, 20)}", None)] + [(900 + k, f"{words(rng, 9)}\n{left}\n{core}\n{right}\n{words(rng, 9)}", None) for k in range(2)]
+    for k in range(40):  # exactly `least` words
+        shared = [words(rng, 25), words(rng, 25)]
+        rows += [(1000 + 2 * k + j, "\n".join([words(rng, 9), *shared, words(rng, 9)]), None) for j in range(2)]
+    first = {}
+    for i, t, _ in rows:
+        w = t.split()
+        for p in range(len(w) - least + 1):
+            first.setdefault(tuple(w[p : p + least]), i)
+    want, got = {}, {}
+    for i, t, _ in rows:
+        w = t.split()
+        want[i] = {q for p in range(len(w) - least + 1) if first[tuple(w[p : p + least])] != i for q in range(p, p + least)}
+    for r in passages.repeated_passages(docs(spark, rows)).where("NOT kept").collect():
+        got.setdefault(r["doc_id"], set()).update(range(r["first_word"], r["first_word"] + r["n_words"]))
+    assert want[901] and all(got.get(i, set()) == want[i] for i in want)
+
+
+def test_lines_meet_also_where_both_are_unlike_the_first(spark):
+    rng = np.random.default_rng(13)
+    rows, n = [], 0
+    for g in range(8):  # a template that all share (about 0.4 alike), filled in two ways that are alike only among themselves
+        shared = words(rng, 45)
+        rows.append((n, f"{shared} {words(rng, 30)}", None))
+        for fill in (words(rng, 30), words(rng, 30)):
+            rows += [(n + 1 + k, f"{shared[:-6]} {words(rng, 1)} {fill}", None) for k in range(3)]
+            n += 3
+        n += 1
+    sets = {i: set(Words(t).shingles().tolist()) for i, t, _ in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    keeper = {i: i for i in sets}
+    for _ in sets:
+        for a, b in links:
+            keeper[a] = keeper[b] = min(keeper[a], keeper[b])
+    got = {r["doc_id"]: r["keeper_doc_id"] for r in passages.repeated_passages(docs(spark, rows)).where("first_word = 0 AND n_words = 75").collect()}
+    assert len(links) == 48 and got == {i: keeper[i] for p in links for i in p}
