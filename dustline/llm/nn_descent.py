@@ -6,6 +6,10 @@
 3. NN-descent: each vector introduces its neighbours (by its list and by others' lists that name it) to each other; lists keep
    the best. A list whose last entry is still over the threshold is saturated and gets twice the room. Rounds end when hardly any link is new.
    Pairs under `floor` are dropped from lists: a neighbour that far away leads to no link but by chance.
+   Before lists are trimmed, all pairs over the threshold that a cell or a host saw tie their vectors: of each such set of pairs a spanning
+   forest is kept, which connects what they all connect, so room in lists decides no component.
+   Lists that are full of links show no other group: where there are such, components are dealt into cells anew, with lists that
+   leave out a vector's own component, and those neighbours are introduced too, until no components are tied any more.
 4. Links make components. Within a component all classes are compared, in blocks that only count, so n_links is whole
    also for lists that stayed saturated, and no list bounds it.
 
@@ -30,6 +34,8 @@ from dustline.llm.common import components, drop_table, table
 from dustline.llm.vectors import matrix, usable
 
 LIST, MOST, CELL, BLOCK = 16, 64, 512, 1024
+#: How far single precision may be off: pairs so near the threshold are decided in double.
+CLOSE = 1e-4
 
 
 def classes(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> tuple[DataFrame, DataFrame]:
@@ -53,8 +59,36 @@ def deals(n: int, threshold: float, missed: float = 0.002, most: int = 48) -> tu
     return planes, 1 if p >= 1 else min(most, math.ceil(math.log(missed) / math.log(1 - p)))
 
 
-def first_lists(units: DataFrame, n: int, threshold: float, floor: float, room: int, seed: int = 17) -> DataFrame:
-    """(a, b, c) directed pairs with cosine c >= floor found in cells; at most `room` for each vector and cell."""
+def ties(cos: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs of a block over the threshold as many as connect the same rows, and all near it that could connect more: these are decided in double precision later."""
+    near = cos >= threshold + CLOSE
+    np.fill_diagonal(near, False)
+    part = np.arange(len(cos))
+    i, j = [], []
+    if near.any():
+        unseen = np.ones(len(cos), bool)
+        for start in np.flatnonzero(near.any(axis=1)):
+            if not unseen[start]:
+                continue
+            unseen[start], todo = False, [start]
+            while todo:
+                at = todo.pop()
+                new = np.flatnonzero(near[at] & unseen)
+                unseen[new] = False
+                part[new] = start
+                i += [at] * len(new)
+                j += new.tolist()
+                todo += new.tolist()
+    x, y = np.nonzero(np.triu((cos >= threshold - CLOSE) & ~near, 1))
+    open_ = part[x] != part[y]
+    return np.concatenate((np.array(i, np.int64), x[open_])), np.concatenate((np.array(j, np.int64), y[open_]))
+
+
+def first_lists(units: DataFrame, n: int, threshold: float, floor: float, room: int, seed: int = 17, group: DataFrame | None = None) -> DataFrame:
+    """(a, b, c, tie) directed pairs with cosine c >= floor found in cells; at most `room` for each vector and cell, and the ties of each cell.
+
+    group (id, component, large): only pairs across components count, of which one at least is large.
+    """
     planes, turns = deals(n, threshold)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,17 +108,23 @@ def first_lists(units: DataFrame, n: int, threshold: float, floor: float, room:
     for d in lengths:
         own = units.where(F.size("v") == d).select("id", "v").mapInArrow(deal, "turn int, code bigint, d int, id bigint, x array<float>")
         rows = own if rows is None else rows.union(own)
-    rows = table(rows)
+    rows = dealt = table(rows)
+    if group is not None:
+        rows = rows.join(group, "id", "left").withColumns({"component": F.coalesce("component", "id"), "large": F.coalesce("large", F.lit(False))})
+    else:
+        rows = rows.withColumns({"component": F.col("id"), "large": F.lit(True)})
     sizes = rows.groupBy("turn", "d", "code").agg(F.ceil(F.count("*") / (2 * CELL)).cast("int").alias("splits"))
     cells = rows.join(sizes, ["turn", "d", "code"]).withColumn("split", F.pmod(F.xxhash64("id", "turn"), "splits").cast("int"))
 
     def compare(cell: pa.Table) -> pa.Table:
-        ids = cell.column("id").to_numpy()
+        ids, own, large = (cell.column(k).to_numpy() for k in ("id", "component", "large"))
         x = matrix(cell.column("x"), np.float32)
-        a, b, c = [], [], []
+        full = x @ x.T  # a cell has about 2 CELL vectors at most
+        full[(own[:, None] == own) | ~(large[:, None] | large)] = -2
+        i, j = ties(full, threshold)
+        a, b, c, tie = [ids[i]], [ids[j]], [full[i, j]], [np.ones(len(i), bool)]
         for s in range(0, len(x), 1024):
-            cos = x[s : s + 1024] @ x.T
-            cos[np.arange(len(cos)), s + np.arange(len(cos))] = -2
+            cos = full[s : s + 1024]
             if cos.shape[1] > room:
                 at = np.argpartition(-cos, room - 1, axis=1)[:, :room]
             else:
@@ -94,12 +134,13 @@ def first_lists(units: DataFrame, n: int, threshold: float, floor: float, room:
             a.append(ids[s + i])
             b.append(ids[at[i, j]])
             c.append(val[i, j])
-        join = lambda z, t: pa.array(np.concatenate(z).astype(t) if z else np.zeros(0, t))
-        return pa.table({"a": join(a, np.int64), "b": join(b, np.int64), "c": join(c, np.float32)})
+            tie.append(np.zeros(len(i), bool))
+        join = lambda z, t: pa.array(np.concatenate(z).astype(t))
+        return pa.table({"a": join(a, np.int64), "b": join(b, np.int64), "c": join(c, np.float32), "tie": join(tie, bool)})
 
-    found = cells.select("turn", "d", "code", "split", "id", "x").groupBy("turn", "d", "code", "split").applyInArrow(compare, "a bigint, b bigint, c float")
-    out = table(found.groupBy("a", "b").agg(F.max("c").alias("c")))
-    drop_table(rows)
+    found = cells.select("turn", "d", "code", "split", "id", "x", "component", "large").groupBy("turn", "d", "code", "split").applyInArrow(compare, "a bigint, b bigint, c float, tie boolean")
+    out = table(found.groupBy("a", "b").agg(F.max("c").alias("c"), F.max("tie").alias("tie")))
+    drop_table(dealt)
     return out
 
 
@@ -109,8 +150,8 @@ def trimmed(pairs: DataFrame, threshold: float, room: int, most: int) -> DataFra
     return pairs.withColumn("k", rank).where((F.col("k") <= room) | ((F.col("c") >= threshold) & (F.col("k") <= most))).drop("k")
 
 
-def introduced(lists: DataFrame, units: DataFrame, floor: float, room: int, turn: int) -> DataFrame:
-    """(a, b, c): pairs that a common neighbour introduces."""
+def introduced(lists: DataFrame, units: DataFrame, threshold: float, floor: float, room: int, turn: int) -> DataFrame | None:
+    """(a, b, c, tie): pairs that a common neighbour introduces, and which of them are ties; a table."""
     both = lists.select(F.col("a").alias("host"), F.col("b").alias("guest")).union(lists.select(F.col("b").alias("host"), F.col("a").alias("guest"))).distinct()
     # a host that very many lists name introduces a share of them, another one in each round; step 4 counts whatever stays unseen
     busy = both.groupBy("host").agg(F.count("*").alias("n"))
@@ -125,20 +166,24 @@ def introduced(lists: DataFrame, units: DataFrame, floor: float, room: int, turn
         x = unit(matrix(pack.column("x"), np.float32))
         order = np.argsort(host, kind="stable")
         edges = np.flatnonzero(np.diff(host[order], prepend=host[order[0]] - 1 if len(order) else 0))
-        a, b, c = [], [], []
+        a, b, c, tie = [], [], [], []
         for s, e in zip(edges, [*edges[1:], len(order)]):
             at = order[s:e]
             cos = x[at] @ x[at].T
             i, j = np.nonzero(np.triu(cos >= floor, 1))
+            tied = np.zeros(cos.shape, bool)
+            if (cos[i, j] >= threshold - CLOSE).any():
+                tied[ties(cos, threshold)] = True
+            tie.append((tied | tied.T)[i, j])
             a.append(np.minimum(guest[at[i]], guest[at[j]]))
             b.append(np.maximum(guest[at[i]], guest[at[j]]))
             c.append(cos[i, j])
         join = lambda z, t: pa.array(np.concatenate(z).astype(t) if z else np.zeros(0, t))
-        return pa.table({"a": join(a, np.int64), "b": join(b, np.int64), "c": join(c, np.float32)})
+        return pa.table({"a": join(a, np.int64), "b": join(b, np.int64), "c": join(c, np.float32), "tie": join(tie, bool)})
 
-    half = guests.select("pack", "host", "guest", "x").groupBy("pack").applyInArrow(meet, "a bigint, b bigint, c float")
-    half = half.where("a <> b").groupBy("a", "b").agg(F.max("c").alias("c"))
-    return half.union(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "c"))
+    half = guests.select("pack", "host", "guest", "x").groupBy("pack").applyInArrow(meet, "a bigint, b bigint, c float, tie boolean")
+    half = table(half.where("a <> b").groupBy("a", "b").agg(F.max("c").alias("c"), F.max("tie").alias("tie")))
+    return half
 
 
 def links_within(units: DataFrame, group: DataFrame, threshold: float) -> DataFrame:
@@ -187,28 +232,58 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, floor: float = 0.6, r
     keyed = df.select(F.col(key).cast("long").alias("vec_id"))
     if not n:
         return keyed.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    lists = table(trimmed(first_lists(units, n, threshold, floor, room), threshold, room, most))
+    cells = first_lists(units, n, threshold, floor, room)
+    tied = lambda pairs: pairs.where("tie").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    seen = table(tied(cells).distinct())
+    lists = table(trimmed(cells.drop("tie"), threshold, room, most))
+    drop_table(cells)
     wide, before = room, lists.where(F.col("c") >= threshold).count()
     for turn in range(rounds):
-        new = introduced(lists, units, floor, wide, turn)
+        new = introduced(lists, units, threshold, floor, wide, turn)
         if new is None:
             break
+        seen = table(seen.union(tied(new)).distinct())
+        both = new.select("a", "b", "c").union(new.select("b", "a", "c"))
         saturated = lists.groupBy("a").agg(F.count("*").alias("n"), F.min("c").alias("c")).where((F.col("c") >= threshold) & (F.col("n") >= wide)).limit(1).count()
         wide = min(most, wide * 2) if saturated else wide
-        after = table(trimmed(lists.union(new).groupBy("a", "b").agg(F.max("c").alias("c")), threshold, room, wide))
+        after = table(trimmed(lists.union(both).groupBy("a", "b").agg(F.max("c").alias("c")), threshold, room, wide))
         drop_table(lists)
+        drop_table(new)
         lists = after
         now = lists.where(F.col("c") >= threshold).count()
         if now - before <= settled * now:
             break
         before = now
-    # lists hold single precision; what lies at the threshold is decided in double
-    near = lists.where(F.col("c") >= threshold - 1e-4).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     a, b = units.select(F.col("id").alias("a"), F.col("v").alias("x")), units.select(F.col("id").alias("b"), F.col("v").alias("y"))
     dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda s, t: s * t), F.lit(0.0), lambda s, t: s + t)
     cos = dot("x", "y") / F.sqrt(dot("x", "x")) / F.sqrt(dot("y", "y"))
-    near = table(near.join(a, "a").join(b, "b").where(cos >= threshold).select("a", "b"))
+    exact = lambda pairs: table(pairs.join(a, "a").join(b, "b").where(cos >= threshold).select("a", "b"))
+    # lists hold single precision; what lies at the threshold is decided in double
+    near = lists.where(F.col("c") >= threshold - CLOSE).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    near = exact(near.union(seen).distinct())
     group = table(components(near))
+    turn = rounds
+    while True:
+        size = group.groupBy("component").agg(F.count("*").alias("s"))
+        sized = table(group.join(size, "component").select("id", "component", (F.col("s") > room).alias("large")))
+        if not sized.where("large").limit(1).count():
+            break
+        turn += 1
+        cells = first_lists(units, n, threshold, floor, room, 17 + turn, sized)
+        outer = trimmed(cells.drop("tie"), threshold, room, room)
+        new = introduced(lists.union(outer), units, threshold, floor, wide, turn)
+        pairs = tied(cells) if new is None else tied(cells).union(tied(new))
+        for side in ("a", "b"):
+            pairs = pairs.join(group.select(F.col("id").alias(side), F.col("component").alias(f"of_{side}")), side, "left")
+        pairs = pairs.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b").distinct()
+        more = exact(pairs)
+        drop_table(cells)
+        if new is not None:
+            drop_table(new)
+        if not more.limit(1).count():
+            break
+        near = table(near.union(more))
+        group = table(components(near))
     inside = table(links_within(units, group, threshold))
     drop_table(near)
     drop_table(lists)

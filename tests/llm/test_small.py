@@ -241,3 +241,20 @@ def test_lines_meet_also_where_both_are_unlike_the_first(spark):
             keeper[a] = keeper[b] = min(keeper[a], keeper[b])
     got = {r["doc_id"]: r["keeper_doc_id"] for r in passages.repeated_passages(docs(spark, rows)).where("first_word = 0 AND n_words = 75").collect()}
     assert len(links) == 48 and got == {i: keeper[i] for p in links for i in p}
+
+
+def test_saturated_groups_keep_their_links_to_each_other(spark):
+    rng = np.random.default_rng(14)
+
+    def group(centre, n):
+        v = centre + 0.0115 * rng.standard_normal((n, 32))
+        return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+    e = np.eye(32)
+    x = [group(e[0], 300), group(0.93 * e[0] + np.sqrt(1 - 0.93**2) * e[1], 300), group(e[5], 300), group(0.8 * e[5] + 0.6 * e[6], 300)]
+    x = np.concatenate(x)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    near = x @ x.T >= 0.9
+    assert near[:300, 300:600].mean() > 0.9 and not near[600:900, 900:].any()
+    got = {r["vec_id"]: r for r in nn_descent.near_duplicates(df).collect()}
+    assert all(got[i]["n_links"] == near[i].sum() - 1 and got[i]["component_id"] == (0, 0, 600, 900)[i // 300] for i in range(len(x)))
