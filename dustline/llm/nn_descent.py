@@ -93,22 +93,17 @@ def first_lists(units: DataFrame, n: int, threshold: float, floor: float, room:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = unit(matrix(batch.column("v"))).astype(np.float32)
-            f = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))
-            for turn in range(turns):
-                plane = np.random.default_rng((seed, turn, x.shape[1])).standard_normal((x.shape[1], planes)).astype(np.float32)
-                code = ((x @ plane) > 0) @ (1 << np.arange(planes, dtype=np.int64)) if planes else np.zeros(len(x), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), turn, np.int32)), pa.array(code), pa.array(np.full(len(x), x.shape[1], np.int32)), batch.column("id"), f], names=["turn", "code", "d", "id", "x"])
-
-    # vectors of unlike lengths don't meet, as batches are split by length
-    lengths = [r[0] for r in units.select(F.size("v")).distinct().limit(64).collect()]
-    rows = None
-    for d in lengths:
-        own = units.where(F.size("v") == d).select("id", "v").mapInArrow(deal, "turn int, code bigint, d int, id bigint, x array<float>")
-        rows = own if rows is None else rows.union(own)
-    rows = dealt = table(rows)
+            lengths = np.diff(np.asarray(batch.column("v").offsets)) if batch.num_rows else np.zeros(0, int)
+            for d in np.unique(lengths):  # vectors of unlike lengths don't meet
+                own = batch.take(pa.array(np.flatnonzero(lengths == d)))
+                x = unit(matrix(own.column("v"))).astype(np.float32)
+                f = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))
+                for turn in range(turns):
+                    plane = np.random.default_rng((seed, turn, x.shape[1])).standard_normal((x.shape[1], planes)).astype(np.float32)
+                    code = ((x @ plane) > 0) @ (1 << np.arange(planes, dtype=np.int64)) if planes else np.zeros(len(x), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), turn, np.int32)), pa.array(code), pa.array(np.full(len(x), x.shape[1], np.int32)), own.column("id"), f], names=["turn", "code", "d", "id", "x"])
+
+    rows = dealt = table(units.select("id", "v").mapInArrow(deal, "turn int, code bigint, d int, id bigint, x array<float>"))
     if group is not None:
         rows = rows.join(group, "id", "left").withColumns({"component": F.coalesce("component", "id"), "large": F.coalesce("large", F.lit(False))})
     else:
@@ -181,7 +176,7 @@ def introduced(lists: DataFrame, units: DataFrame, threshold: float, floor: floa
         join = lambda z, t: pa.array(np.concatenate(z).astype(t) if z else np.zeros(0, t))
         return pa.table({"a": join(a, np.int64), "b": join(b, np.int64), "c": join(c, np.float32), "tie": join(tie, bool)})
 
-    half = guests.select("pack", "host", "guest", "x").groupBy("pack").applyInArrow(meet, "a bigint, b bigint, c float, tie boolean")
+    half = guests.select("pack", F.size("x").alias("d"), "host", "guest", "x").groupBy("pack", "d").applyInArrow(meet, "a bigint, b bigint, c float, tie boolean")
     half = table(half.where("a <> b").groupBy("a", "b").agg(F.max("c").alias("c"), F.max("tie").alias("tie")))
     return half
 

@@ -258,3 +258,14 @@ def test_saturated_groups_keep_their_links_to_each_other(spark):
     assert near[:300, 300:600].mean() > 0.9 and not near[600:900, 900:].any()
     got = {r["vec_id"]: r for r in nn_descent.near_duplicates(df).collect()}
     assert all(got[i]["n_links"] == near[i].sum() - 1 and got[i]["component_id"] == (0, 0, 600, 900)[i // 300] for i in range(len(x)))
+
+
+def test_vectors_of_very_many_lengths_all_find_their_like(spark):
+    rng = np.random.default_rng(15)
+    rows = []
+    for d in range(2, 82):
+        v = rng.standard_normal(d)
+        rows += [(2 * d, v.tolist()), (2 * d + 1, (v * 1.5 + 1e-3).tolist())]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {r["vec_id"]: r for r in nn_descent.near_duplicates(df).collect()}
+    assert all(got[i]["n_links"] == 1 and got[i]["component_id"] == i - i % 2 for i, _ in rows)
