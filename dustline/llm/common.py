@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import shutil
+import ctypes
+import gc
 import tempfile
+import time
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -17,14 +20,52 @@ U = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where the session names none (tests, one machine) a temporary one."""
+    """The folder that driver and executors share. Only a session on one machine (tests) may name none and gets a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="dustline-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+#: Rows of an Arrow batch that goes to a Python worker: texts have kilobytes, so Spark's own 10,000 make batches of many megabytes on both sides.
+BATCH_ROWS = 512
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches of a session that has no bound of its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def tidy() -> None:
+    """Gives the memory that a worker has freed back to the system: a worker outlives its task, and Spark reuses it for the next operator."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not the GNU C library
+        pass
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator], Iterator], schema) -> DataFrame:
+    """mapInArrow in bounded batches, by workers that keep nothing once a task has ended."""
+    text_batches(df.sparkSession)
+
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return df.mapInArrow(task, schema)
+
+
 def table(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Writes df to a Parquet table in the shared folder and reads it back: its lineage ends there, so a lost executor costs a reread."""
     path = f"{shared_dir(df.sparkSession)}/dustline-{uuid.uuid4().hex}"
@@ -32,9 +73,20 @@ def table(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._dustline_path = path
+    collect_garbage(df.sparkSession)
     return out
 
 
+_collected = [0.0]
+
+
+def collect_garbage(spark: SparkSession, seconds: float = 3.0) -> None:
+    """Shuffle files stay on executors' disks until the driver's JVM collects what refers to them; operators of many steps ask for that now and then."""
+    if time.monotonic() - _collected[0] > seconds:
+        spark._jvm.System.gc()
+        _collected[0] = time.monotonic()
+
+
 def drop_table(df: DataFrame) -> None:
     """Deletes what table() wrote, once nothing reads it any more."""
     path = getattr(df, "_dustline_path", None)
@@ -45,10 +97,6 @@ def drop_table(df: DataFrame) -> None:
     at.getFileSystem(conf).delete(at, True)
 
 
-def cleanup(path: str) -> None:
-    shutil.rmtree(path, ignore_errors=True)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (the constants are those published for splitmix64)."""
     with np.errstate(over="ignore"):
@@ -65,26 +113,33 @@ _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(0, 2**64, 256, dtype=U)
 _P = U(0x9E3779B97F4A7C15 | 1)
 _P_INV = U(pow(int(_P), -1, 2**64))
-_powers: dict[str, np.ndarray] = {}
+_Q = U(0xC2B2AE3D27D4EB4F)
+_Q_INV = U(pow(int(_Q), -1, 2**64))
+#: Powers that a worker keeps; longer rows of them are made when asked for, and not kept.
+KEPT = 1 << 17
+_powers: dict[int, np.ndarray] = {}
 
 
-def _power(base: np.uint64, n: int, name: str) -> np.ndarray:
-    got = _powers.get(name)
+def _power(base: np.uint64, n: int) -> np.ndarray:
+    got = _powers.get(int(base))
     if got is None or len(got) < n:
         with np.errstate(over="ignore"):
-            step = np.full(max(n, 1 << 16), base, U)
+            step = np.full(max(n, KEPT), base, U)
             step[0] = 1
-            got = _powers[name] = np.multiply.accumulate(step)
+            got = np.multiply.accumulate(step)
+        if n <= KEPT:
+            _powers[int(base)] = got
     return got[:n]
 
 
 class Words:
     """The words of a text (runs of other bytes than white space, A-Z lowered), with 64-bit hashes of any run of words.
 
-    norm holds the words joined by single spaces; starts and ends are byte offsets of each word in it.
+    norm holds the words joined by single spaces; starts and ends are byte offsets of each word in it. Bytes are hashed a stretch of KEPT at a time (or one
+    longer word), so a text needs its own size and a few numbers for each word.
     """
 
-    __slots__ = ("norm", "starts", "ends", "_sums")
+    __slots__ = ("norm", "starts", "ends", "_sums", "_other")
 
     def __init__(self, text: str | None):
         self.norm = b" ".join((text or "").encode("utf-8", "surrogatepass").translate(LOWER).split())
@@ -95,20 +150,43 @@ class Words:
             self.ends = np.concatenate((gaps, [len(b)]))
         else:
             self.starts = self.ends = np.zeros(0, np.int64)
-        self._sums = None
+        self._sums = self._other = None
 
     def __len__(self) -> int:
         return len(self.starts)
 
+    def _each(self) -> np.ndarray:
+        """A hash of each word: a polynomial over random 64-bit byte values, mixed."""
+        out = np.empty(len(self), U)
+        i = 0
+        while i < len(out):
+            base = self.starts[i]
+            j = max(i + 1, int(np.searchsorted(self.ends, base + KEPT, side="right")))
+            b = np.frombuffer(self.norm, np.uint8, int(self.ends[j - 1] - base), int(base))
+            sums = np.zeros(len(b) + 1, U)
+            np.cumsum(_BYTE[b] * _power(_P, len(b)), out=sums[1:])
+            s, e = self.starts[i:j] - base, self.ends[i:j] - base
+            out[i:j] = mix((sums[e] - sums[s]) * _power(_P_INV, len(b))[s] + (e - s).astype(U) * U(0xD6E8FEB86659FD93))
+            i = j
+        return out
+
     def hashes(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """Hashes of the runs from word first to word last, both included: a polynomial over random 64-bit byte values, mixed."""
+        """Hashes of the runs from word first to word last, both included: a polynomial over the words' hashes, mixed."""
         with np.errstate(over="ignore"):
             if self._sums is None:
-                b = np.frombuffer(self.norm, np.uint8)
-                self._sums = np.concatenate((np.zeros(1, U), np.cumsum(_BYTE[b] * _power(_P, len(b), "p"), dtype=U)))
-            s, e = self.starts[first], self.ends[last]
-            h = (self._sums[e] - self._sums[s]) * _power(_P_INV, len(self.norm) + 1, "i")[s]
-            return mix(h + (e - s).astype(U) * U(0xD6E8FEB86659FD93))
+                self._sums = np.zeros(len(self) + 1, U)
+                np.cumsum(self._each() * _power(_P, len(self)), out=self._sums[1:])
+            h = (self._sums[last + 1] - self._sums[first]) * _power(_P_INV, len(self))[first]
+            return mix(h + (last - first + 1).astype(U) * U(0xA0761D6478BD642F))
+
+    def checks(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """32 more bits of the same runs, by a polynomial over another base."""
+        with np.errstate(over="ignore"):
+            if self._other is None:
+                self._other = np.zeros(len(self) + 1, U)
+                np.cumsum(mix(self._each()) * _power(_Q, len(self)), out=self._other[1:])
+            h = (self._other[last + 1] - self._other[first]) * _power(_Q_INV, len(self))[first]
+            return (mix(h) >> U(32)).astype(np.uint32).view(np.int32)
 
     def runs(self, n: int) -> np.ndarray:
         """Hashes of all runs of n words in order; of the whole sequence if it is shorter; none without words."""
@@ -131,7 +209,7 @@ def jaccard_parts(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return both, len(a) + len(b) - both
 
 
-def pieces(batch, most: int = 16 << 20, column: str = "text"):
+def pieces(batch, most: int = 4 << 20, column: str = "text"):
     """Slices of an Arrow batch whose texts together have about so many bytes, so that memory doesn't follow the batch's rows."""
     import pyarrow.compute as pc
 
@@ -151,7 +229,6 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     Large-star and small-star rounds: each sends a node's neighbours to its smallest one, so no node gathers
     a component and rounds grow with the logarithm of the longest path. Each round is a table in the shared folder.
     """
-    spark = edges.sparkSession
     now = table(edges.where("a <> b").selectExpr("greatest(a, b) AS u", "least(a, b) AS v").distinct())
     before = None
     for _ in range(rounds):
@@ -170,5 +247,4 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         before = tuple(seen)
     else:
         raise RuntimeError("components did not settle")
-    del spark
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dustline.llm.common import U, mix, pieces
+from dustline.llm.common import U, map_arrow, mix, pieces
 
 #: The most labelled rows to learn from, by class, in the order of a hash of doc_id.
 TOXIC, ORDINARY = 700, 1400
@@ -167,7 +167,7 @@ def _map(df: DataFrame, keep: list[str], made: list[tuple[str, str]], reader, co
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *out], names=[*keep, *(n for n, _ in made)])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in whole.select(*keep).schema.fields)
-    return whole.mapInArrow(run, kept + "".join(f", {n} {t}" for n, t in made))
+    return map_arrow(whole, run, kept + "".join(f", {n} {t}" for n, t in made))
 
 
 def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC, ordinary_rows: int = ORDINARY) -> Scorer:

@@ -39,6 +39,20 @@ def test_long_texts_are_cut_safely_and_decoded_by_the_same_worker(spark):
         assert bytes(r["decoded"]) == t.encode() and r["n_tokens"] == len(r["token_ids"]) // 4
 
 
+def test_very_long_runs_of_white_space(spark):
+    coder, lib = byte_bpe.Coder(*byte_bpe.default_ranks()), byte_bpe.encoding(*byte_bpe.default_ranks())
+    small = ["a" + c * n + end for c in (" ", "\n", "\u3000", " \t") for n in (2100, 4095, 4096, 4097, 9000) for end in ("", "x", " x", "\nx", "7", "'s")]
+    small += ["\x1c" * 5000 + "a", "x" + " " * 5000 + "\n" * 5000 + "é"]
+    for t in small:  # short enough for the library's own engine
+        assert np.frombuffer(coder.encode(t), "<u4").tolist() == lib.encode_ordinary(t)
+    texts = [" " * 2_000_000 + "x", "\n" * 2_000_000, "y" + "\n \t" * 700_000 + " z", "w" * 300_000]
+    got = byte_bpe.encode(docs(spark, [(i, t, None) for i, t in enumerate(texts)]), keep=["doc_id"], decoded=True).orderBy("doc_id").collect()
+    assert [bytes(r["decoded"]).decode() for r in got] == texts
+    # a run but for its last character is one match of the pattern, hence one piece
+    assert np.frombuffer(bytes(got[0]["token_ids"]), "<u4").tolist() == lib._encode_single_piece(b" " * 1_999_999) + lib.encode_ordinary(" x")
+    assert np.frombuffer(bytes(got[1]["token_ids"]), "<u4").tolist() == lib._encode_single_piece(b"\n" * 2_000_000)
+
+
 def test_jump_shards_move_rows_only_into_the_new_one(spark):
     df = docs(spark, [(i, "x", None) for i in range(500)] + [(None, None, None), (7, "x", None)])
     rows = jump_shards.shard(df.select("doc_id", "text"), 10).collect()
@@ -106,10 +120,21 @@ def test_odd_sketch_estimates_similarity():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**64, 1000, dtype=np.uint64)
     b = np.concatenate((a[:900], rng.integers(0, 2**64, 100, dtype=np.uint64)))
-    x, y = (near_dup.odd_sketch(near_dup.minhash(s)) for s in (a, b))
+    x, y = near_dup.odd_sketch(near_dup.minhash(np.concatenate((a, b)), np.array([1000, 1000])))
     assert abs(near_dup.similarity_of_bits(int(np.bitwise_count(x ^ y).sum())) - 900 / 1100) < 0.08
 
 
+def test_samples_of_short_and_long_sets_equal_plain_ones():
+    rng = np.random.default_rng(31)
+    sets = [rng.integers(0, 2**64, n, dtype=np.uint64) for n in (1, 3, 60, 257, 256, 2000, 5, 511, 513, 1)]
+    got = near_dup.minhash(np.concatenate(sets), np.array([len(s) for s in sets]))
+    for s, row in zip(sets, got):
+        x = (s >> np.uint64(32)).astype(np.uint32)
+        assert row.tolist() == [int(((x ^ a) * b).min()) for a, b in zip(near_dup._XOR, near_dup._MUL)]
+    made = near_dup.signed([np.concatenate((sets[2], sets[2][:9])), sets[0][:0], sets[2][::-1]])
+    assert made["n"].to_pylist() == [60, 0, 60] and made["keys"][0] == made["keys"][2] and made["h2"][0] == made["h2"][2] and made["keys"][1].as_py() == []
+
+
 def test_passages_are_found_wherever_they_stand(spark):
     rng = np.random.default_rng(4)
     shared = words(rng, 60)
@@ -158,6 +183,23 @@ def test_gradient_of_the_network():
     assert p[0].argmax() == 0 and p[1].argmax() == 1 and not p[2:5].any() and p[5].sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_languages_are_learnt_whatever_the_ids_are(spark):
+    rng = np.random.default_rng(21)
+    say = lambda letters: " ".join("".join(rng.choice(list(letters), 5)) for _ in range(40))
+    texts = [(say("abcdef"), "aa") for _ in range(60)] + [(say("uvwxyz"), "bb") for _ in range(60)] + [(say("uvwxyz"), None), ("", "aa"), (None, "bb"), ("12 34", "aa")]
+    for ids in (lambda k: None, lambda k: 1, lambda k: 3, lambda k: k):
+        d = spark.createDataFrame([(ids(k), t, lang, None, 0.5, "x") for k, (t, lang) in enumerate(texts)], "doc_id bigint, text string, lang string, source string, score double, lang_pred string")
+        net = language_id.fit(d.where(~language_id.held_out(3, 1)), steps=60)
+        got = language_id.predict(d, net).collect()
+        assert len(got) == len(texts)
+        if net is None:  # crc32("1") % 3 is 1, so all rows are held out and nothing can be learnt
+            assert {r["lang_pred"] for r in got} == {"und"}
+            continue
+        assert all(r["lang_pred"] == ("und" if not r["text"] or r["text"] == "12 34" else "aa" if r["text"][0] < "m" else "bb") for r in got)
+    one = spark.createDataFrame([(7, texts[0][0], "aa")] * 500, "doc_id bigint, text string, lang string")
+    assert {r["lang_pred"] for r in language_id.predict(one, language_id.fit(one, steps=5)).collect()} == {"aa"}
+
+
 def test_toxic_words_are_learnt(spark):
     rng = np.random.default_rng(8)
     rows = [(i, words(rng, 40) + (" blorg wuzzle" if i % 3 == 0 else ""), None) for i in range(240)] + [(999, None, None), (1000, "", None)]
@@ -190,7 +232,7 @@ def test_empty_tables(spark):
 def test_digests_follow_the_ids(spark):
     lib = byte_bpe.encoding(*byte_bpe.default_ranks())
     ids = np.asarray(lib.encode_ordinary("Some words here."), "<u4").tobytes()
-    assert hashlib.sha256(byte_bpe.Encoder(*byte_bpe.default_ranks())("Some words here.")).hexdigest() == hashlib.sha256(ids).hexdigest()
+    assert hashlib.sha256(byte_bpe.Coder(*byte_bpe.default_ranks()).encode("Some words here.")).hexdigest() == hashlib.sha256(ids).hexdigest()
 
 
 def test_passages_equal_brute_force_where_the_first_place_differs(spark):
