@@ -1,14 +1,17 @@
 """Byte-level BPE by the tiktoken library: encoding of whole texts to packed ids and decoding of ids to raw bytes.
 
 Null, empty and long texts: a null text is an empty one and has no ids. Long texts are cut about every CHUNK characters before
-a space that follows a visible character; the pattern never matches across such a place, so the chunks' ids are those of the
-whole text, whatever its length. Repeated rows are encoded alike, an empty table gives an empty one, and input columns that clash
+white space that follows another character; the pattern never matches across such a place, so the chunks' ids are those of the
+whole text, whatever its length. Long runs of white space, in which the library's pattern engine goes too deep, are cut off as the pattern would
+(all but the last character, which belongs to what follows; all of it at the end of a text) and encoded as single pieces.
+Repeated rows are encoded alike, an empty table gives an empty one, and input columns that clash
 with the output's names are replaced.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +20,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Characters after which a text is cut at the next safe place.
-CHUNK = 16_384
+from dustline.llm.common import map_arrow, pieces
+
+#: Characters after which a text is cut at the next safe place, and white space that is encoded as a piece of its own.
+CHUNK, LONG_SPACE = 16_384, 4096
+# Unicode's White_Space characters, which the pattern's \s stands for.
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SAFE = re.compile(f"(?<=[^{SPACE}])[{SPACE}]")
+_LONG = re.compile(f"[{SPACE}]{{{LONG_SPACE},}}")
 
 
 def default_ranks() -> tuple[bytes, str]:
@@ -36,39 +45,45 @@ def encoding(ranks: bytes, pattern: str):
 
 
 def safe_chunks(text: str, size: int = CHUNK) -> Iterator[str]:
-    """Cuts before spaces that follow a visible character. Only characters that surely are none of the pattern's white space count as visible."""
+    """Cuts before white space that follows another character."""
     start = 0
     while len(text) - start > size:
-        at = text.find(" ", start + size)
-        while at > 0 and not ("!" <= text[at - 1] <= "~" or text[at - 1].isalnum()):
-            at = text.find(" ", at + 1)
-        if at < 0:
+        at = _SAFE.search(text, start + size)
+        if not at:
             break
-        yield text[start:at]
-        start = at
+        yield text[start : at.start()]
+        start = at.start()
     yield text[start:]
 
 
-class Encoder:
+class Coder:
+    """Encoder and decoder of one rank file."""
+
     def __init__(self, ranks: bytes, pattern: str):
         self.library = encoding(ranks, pattern)
+        self.bytes: list[bytes | None] = [None] * self.library.n_vocab
+        for token, i in self.library._mergeable_ranks.items():
+            self.bytes[i] = token
 
-    def __call__(self, text: str | None) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        return b"".join([np.asarray(self.library.encode_ordinary(c), dtype="<u4").tobytes() for c in safe_chunks(text)])
-
+    def _ordinary(self, text: str) -> Iterator[bytes]:
+        for chunk in safe_chunks(text):
+            yield np.asarray(self.library.encode_ordinary(chunk), dtype="<u4").tobytes()
 
-_made: dict[int, object] = {}
-
-
-def _worker(kind, ranks: bytes, pattern: str):
-    """One encoder or decoder for each worker process."""
-    key = hash((kind, ranks, pattern))
-    if key not in _made:
-        _made[key] = kind(ranks, pattern)
-    return _made[key]
+    def encode(self, text: str | None) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit integers."""
+        out, done = [], 0
+        for run in _LONG.finditer(text or ""):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            out += self._ordinary(text[done : run.start()])
+            out.append(np.asarray(self.library._encode_single_piece(text[run.start() : end].encode()), dtype="<u4").tobytes())
+            done = end
+        if text:
+            out += self._ordinary(text[done:])
+        return b"".join(out)
+
+    def decode(self, ids: bytes | None) -> bytes:
+        """The bytes of packed ids; an id outside the vocabulary is an error."""
+        return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
 
 
 def encode(df: DataFrame, ranks: bytes | None = None, pattern: str | None = None, text: str = "text", keep: list[str] | None = None, decoded: bool = False) -> DataFrame:
@@ -89,34 +104,16 @@ def encode(df: DataFrame, ranks: bytes | None = None, pattern: str | None = None
         schema = schema.add("decoded", T.BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from dustline.llm.common import pieces
-
-        encoder = _worker(Encoder, *sent.value)
-        decoder = _worker(Decoder, *sent.value) if decoded else None
+        coder = Coder(*sent.value)
         for batch in batches:
             for part in pieces(batch, column="__text"):
-                ids = [encoder(t) for t in part.column("__text").to_pylist()]
+                ids = [coder.encode(t) for t in part.column("__text").to_pylist()]
                 made = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
-                if decoder:
-                    made.append(pa.array([decoder(x) for x in ids], pa.binary()))
+                if decoded:
+                    made.append(pa.array([coder.decode(x) for x in ids], pa.binary()))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *made], names=schema.names)
 
-    return whole.mapInArrow(run, schema)
-
-
-class Decoder:
-    def __init__(self, ranks: bytes, pattern: str):
-        library = encoding(ranks, pattern)
-        self.bytes = [b""] * library.n_vocab
-        for i in range(library.n_vocab):
-            try:
-                self.bytes[i] = library.decode_single_token_bytes(i)
-            except KeyError:  # a free id
-                self.bytes[i] = None
-
-    def __call__(self, ids: bytes | None) -> bytes:
-        """The bytes of packed ids; an id outside the vocabulary is an error."""
-        return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
+    return map_arrow(whole, run, schema)
 
 
 def decode(df: DataFrame, ranks: bytes | None = None, pattern: str | None = None, ids: str = "token_ids") -> DataFrame:
@@ -128,15 +125,13 @@ def decode(df: DataFrame, ranks: bytes | None = None, pattern: str | None = None
     schema = T.StructType([*df.select(*keep).schema.fields, T.StructField("decoded", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from dustline.llm.common import pieces
-
-        decoder = _worker(Decoder, *sent.value)
+        coder = Coder(*sent.value)
         for batch in batches:
             for part in pieces(batch, column=ids):
-                back = pa.array([decoder(x) for x in part.column(ids).to_pylist()], pa.binary())
+                back = pa.array([coder.decode(x) for x in part.column(ids).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), back], names=[*keep, "decoded"])
 
-    return df.select(*keep).mapInArrow(run, schema)
+    return map_arrow(df.select(*keep), run, schema)
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
