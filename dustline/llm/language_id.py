@@ -1,14 +1,16 @@
 """Language identification by a bidirectional gated recurrent network over bytes, trained in numpy.
 
-Training: windows of texts, every position labelled with its document's language, backpropagation through time over the whole
-window in both directions, Adam. Learns from about PER_LANGUAGE documents of each language, chosen by a hash of
-doc_id (a bounded sample), four windows of each. Prediction: a whole text is cut into windows of 128 bytes (the last one
+Training: segments of 64 bytes, every position labelled with its document's language, backpropagation through time over the whole
+segment in both directions, Adam. Learns from about PER_LANGUAGE distinct texts of each language (never over twice as many), chosen by a hash of
+the text (a bounded sample), four windows of 128 bytes of each, of which segments are drawn. Prediction: a whole text is cut into windows of 128 bytes (the last one
 overlaps the one before, and only its new positions count); the network labels every position, and a document's
 probabilities are the mean over its positions.
 
 Rows: a text that is null or has no letter is `und` with score 0; texts shorter than a window are filled up with spaces
-that don't count; rows without language are not learnt from; repeated rows are predicted alike; an empty table
-gives an empty one; with no language to learn every text is `und`. Ties go to the language that is first in order.
+that don't count; very long texts count whole, in stretches of windows; rows without language are not learnt from; doc_id is only carried along, so it may be
+null or repeat; repeated rows are predicted alike and learnt from once; an empty table
+gives an empty one; with no language to learn every text is `und`. Ties go to the language that is first in order. Input columns named
+lang_pred and score are replaced.
 """
 
 from __future__ import annotations
@@ -18,10 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dustline.llm.common import pieces
+from dustline.llm.common import map_arrow, pieces
 
 PER_LANGUAGE, WINDOWS, WINDOW, HIDDEN = 400, 4, 128, 8
 LETTER = re.compile(r"[^\W\d_]")
@@ -137,7 +139,7 @@ class Network:
             setattr(self, n, np.ascontiguousarray(getattr(self, n), dtype=np.float32))
         return self
 
-    def documents(self, texts: list[str | None], most: int = 4096) -> np.ndarray:
+    def documents(self, texts: list[str | None], most: int = 1024) -> np.ndarray:
         """Mean probabilities [document, language] over all positions; zeros for texts without a letter."""
         out = np.zeros((len(texts), len(self.languages)))
         doc, begin, skip, parts, lengths = [], [], [], [], np.zeros(len(texts), np.int64)
@@ -176,13 +178,14 @@ class Network:
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, hidden: int = HIDDEN, steps: int = 160) -> Network | None:
     """Learns from about per_language documents of each language (never over twice as many for all together), WINDOWS windows of each."""
-    known = docs.where("lang IS NOT NULL AND text IS NOT NULL AND length(text) > 0").select("text", "lang", F.xxhash64("doc_id", F.lit(5)).alias("h"))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # languages, not documents
+    known = docs.where("lang IS NOT NULL AND length(text) > 0").select("text", "lang", F.xxhash64("text", F.lit(5)).alias("h"))
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}  # languages, not documents
     if not counts:
         return None
-    languages = sorted(counts)
-    share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, per_language / counts[lang]))])
-    chosen = known.where((F.col("h") / float(2**64) + 0.5) < share[F.col("lang")]).limit(2 * per_language * len(languages))
+    share = F.create_map(*[F.lit(x) for lang in sorted(counts) for x in (lang, min(1.0, per_language / max(1, counts[lang])))])
+    some = known.where((F.col("h") / float(2**64) + 0.5) < share[F.col("lang")]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))  # of about per_language rows
+    chosen = some.withColumn("k", rank).where(F.col("k") <= 2 * per_language).drop("k")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,7 +198,9 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, hidden: int = HIDDEN,
                         langs.append(lang)
                 yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary()), pa.array(langs, pa.string())], names=["w", "lang"])
 
-    rows = chosen.mapInArrow(windows, "w binary, lang string").toPandas()
+    rows = map_arrow(chosen.select("text", "lang", "h"), windows, "w binary, lang string").toPandas()
+    if not len(rows):
+        return None
     rows = rows.assign(w=rows["w"].map(bytes)).sort_values(["lang", "w"]).reset_index(drop=True)
     languages = sorted(rows["lang"].unique())
     network = Network(languages, hidden)
@@ -223,7 +228,7 @@ def predict(docs: DataFrame, network: Network | None, keep: list[str] | None = N
                 which = np.where(best > 0, p.argmax(axis=1), len(names) - 1)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(names[which], pa.string()), pa.array(np.clip(best, 0, 1))], names=[*keep, *made])
 
-    return whole.mapInArrow(run, f"{kept}, lang_pred string, score double")
+    return map_arrow(whole, run, f"{kept}, lang_pred string, score double")
 
 
 def held_out(mod: int, rest: int):
