@@ -5,65 +5,83 @@ words (the whole sequence if it has fewer). Documents whose sets agree in at lea
 components of links are groups, named by their smallest doc_id.
 
 1. Documents with equal sets form a class; its smallest doc_id stands for it from here on, so exact copies cost nothing more.
-2. Of 256 MinHash samples 128 make 32 bands of 4 (a pair at the threshold is missed by all of them once in 200,000 times, one at 0.8
-   once in 20 million), and all make an odd sketch: a bitmap of 1024 bits in which each (sample, value) flips a bit, so that the population count of
+2. Of 256 MinHash samples 60 make 20 bands of 3 (a pair at the threshold is missed by all of them once in 60,000 times, one at 0.8
+   once in 1.7 million), and all make an odd sketch: a bitmap of 1024 bits in which each (sample, value) flips a bit, so that the population count of
    two bitmaps' XOR tells how many samples differ. A pair over the count that lies 4.5 deviations above that of the
    threshold (one in 300,000 pairs at the threshold) goes; this is a condition of a join, in the JVM.
-3. Each bucket links its members to its first one (a star, so a bucket of n gives n pairs, not n squared). Pairs
-   are confirmed on the full sets. Where buckets then hold several components and very many pairs across them, they get stars around other members.
-4. Members of buckets that still hold several components get a larger odd sketch (1024 samples, 4096 bits) and are compared across components, in
-   blocks of bounded size; only pairs within four deviations leave a block, once each, and are confirmed. So every pair of a bucket is either
-   confirmed, refuted by the full sets or a sketch, or already in one component; no bucket is capped.
+3. Each set meets the smallest set that shares a bucket with it; pairs that the sketches allow are confirmed on the full sets. In buckets that then hold
+   several components, each member meets one of another component, and again with another one (stars, so a bucket of n gives n pairs, not n squared).
+4. Members of buckets that still hold several components get a larger odd sketch (1024 samples, 4096 bits). Those outside a bucket's largest component
+   are compared with all its members in blocks of bounded size; pairs of one component never meet, and those over the same 4.5 deviations go. What leaves a
+   block, each pair once, is confirmed. So every pair of a bucket is either confirmed, refuted by the full sets or a sketch, or already in one component; no
+   bucket is capped.
 
 Rows: null, empty and blank texts have an empty set, are linked with nothing and stay; rows without doc_id are returned with no component and stay;
-rows that share a doc_id are one document with the links of each; long texts count whole; an empty table gives an empty one.
+rows that share a doc_id are one document with the links of each; long texts count whole; an empty table gives an empty one. Ties don't matter:
+links are symmetric, and the smallest doc_id names a group. Only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dustline.llm.common import U, Words, components, drop_table, jaccard_parts, mix, pieces, table
+from dustline.llm.common import U, Words, components, drop_table, jaccard_parts, map_arrow, mix, pieces, table
 
-SAMPLES, BANDED, ROWS, LONGS = 256, 128, 4, 16
+SAMPLES, BANDED, ROWS, LONGS = 256, 60, 3, 16
 #: Members that one hub is compared with in one place; a larger group has its hub in several.
 SALT = 256
 _rng = np.random.default_rng(90210)
-_XOR = _rng.integers(0, 2**64, SAMPLES, dtype=U)[:, None]
-_MUL = (_rng.integers(0, 2**64, SAMPLES, dtype=U) | U(1))[:, None]
+_XOR = _rng.integers(0, 2**32, SAMPLES, dtype=np.uint32)
+_MUL = _rng.integers(0, 2**32, SAMPLES, dtype=np.uint32) | np.uint32(1)
 
 
-def minhash(shingles: np.ndarray, xor: np.ndarray = _XOR, mul: np.ndarray = _MUL, step: int = 1024) -> np.ndarray:
-    """The samples of a set that isn't empty."""
-    low = np.full(len(xor), U(2**64 - 1))
-    with np.errstate(over="ignore"):
-        for at in range(0, len(shingles), step):
-            np.minimum(low, ((shingles[None, at : at + step] ^ xor) * mul).min(axis=1), out=low)
-    return low
+def minhash(sets: np.ndarray, sizes: np.ndarray, xor: np.ndarray = _XOR, mul: np.ndarray = _MUL, step: int = 512) -> np.ndarray:
+    """The samples [set, sample] of sets of hashes that stand one after the other; none is empty. Permutations are of 32 bits.
+
+    Short sets are taken together, long ones a step at a time, so that what is computed at a time stays small.
+    """
+    flat = (sets >> U(32)).astype(np.uint32)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    out = np.empty((len(sizes), len(xor)), np.uint32)
+    i = 0
+    while i < len(sizes):
+        if sizes[i] > step // 2:
+            low = np.full(len(xor), 2**32 - 1, np.uint32)
+            for at in range(int(starts[i]), int(ends[i]), step):
+                np.minimum(low, ((flat[None, at : min(at + step, int(ends[i]))] ^ xor[:, None]) * mul[:, None]).min(axis=1), out=low)
+            out[i] = low
+            i += 1
+            continue
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + step, side="right")))
+        out[i:j] = np.minimum.reduceat((flat[starts[i] : ends[j - 1], None] ^ xor) * mul, starts[i:j] - starts[i], axis=0)
+        i = j
+    return out
 
 
 def band_keys(samples: np.ndarray, rows: int = ROWS) -> np.ndarray:
-    """One key for each band of so many samples; bands share no key but by chance."""
+    """One key for each band of so many samples [set, sample]; bands share no key but by chance."""
     with np.errstate(over="ignore"):
-        b = mix(samples).reshape(-1, rows)
-        key = np.arange(1, len(b) + 1, dtype=U) * U(0x9E3779B97F4A7C15)
+        b = mix(samples.astype(U) + U(1)).reshape(len(samples), -1, rows)
+        key = np.broadcast_to(np.arange(1, b.shape[1] + 1, dtype=U) * U(0x9E3779B97F4A7C15), b.shape[:2])
         for i in range(rows):
-            key = mix(key * U(0xD6E8FEB86659FD93) + b[:, i])
+            key = mix(key * U(0xD6E8FEB86659FD93) + b[:, :, i])
     return key
 
 
 def odd_sketch(samples: np.ndarray, longs: int = LONGS) -> np.ndarray:
-    """The parity bitmap of the samples, as so many 64-bit words."""
+    """The parity bitmaps of the samples [set, sample], as so many 64-bit words each."""
+    n, bits = len(samples), 64 * longs
     with np.errstate(over="ignore"):
-        bit = (mix(mix(samples) + np.arange(len(samples), dtype=U) * U(0xC2B2AE3D27D4EB4F)) % U(64 * longs)).astype(np.int64)
-    odd = (np.bincount(bit, minlength=64 * longs) & 1).astype(np.uint8)
-    return np.packbits(odd, bitorder="little").view("<u8")
+        bit = (mix(mix(samples.astype(U) + U(1)) + np.arange(samples.shape[1], dtype=U) * U(0xC2B2AE3D27D4EB4F)) % U(bits)).astype(np.int64)
+    odd = np.bincount((bit + np.arange(n)[:, None] * bits).ravel(), minlength=n * bits) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(n, bits), axis=1, bitorder="little").view("<u8")
 
 
 def most_bits(similarity: float, samples: int = SAMPLES, bits: int = 64 * LONGS, deviations: float = 4.5) -> int:
@@ -87,8 +105,8 @@ SKETCH = [f"o{i}" for i in range(LONGS)]
 #: Samples and bits of the larger sketch, and members that are compared at a time.
 FINE, FINE_BITS, BLOCK = 1024, 4096, 1024
 _fine = np.random.default_rng(60607)
-_FINE_XOR = _fine.integers(0, 2**64, FINE, dtype=U)[:, None]
-_FINE_MUL = (_fine.integers(0, 2**64, FINE, dtype=U) | U(1))[:, None]
+_FINE_XOR = _fine.integers(0, 2**32, FINE, dtype=np.uint32)
+_FINE_MUL = _fine.integers(0, 2**32, FINE, dtype=np.uint32) | np.uint32(1)
 
 
 def fine_sketches(texts: DataFrame) -> DataFrame:
@@ -97,58 +115,87 @@ def fine_sketches(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
-                n, out = [], []
-                for t in part.column("text").to_pylist():
-                    s = Words(t).shingles()
-                    n.append(len(s))
-                    out.append(odd_sketch(minhash(s, _FINE_XOR, _FINE_MUL, 256), FINE_BITS // 64).tobytes() if len(s) else bytes(FINE_BITS // 8))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int32()), pa.array(out, pa.binary())], names=["id", "n", "fine"])
+                s = [Words(t).shingles() for t in part.column("text").to_pylist()]
+                n = np.array([len(x) for x in s], np.int64)
+                fine = np.zeros((len(n), FINE_BITS // 64), "<u8")
+                for at in range(0, len(n), 64):
+                    some = at + np.flatnonzero(n[at : at + 64])
+                    if len(some):
+                        fine[some] = odd_sketch(minhash(np.concatenate([s[i] for i in some]), n[some], _FINE_XOR, _FINE_MUL, 128), FINE_BITS // 64)
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int32()), pa.array([x.tobytes() for x in fine], pa.binary())], names=["id", "n", "fine"])
 
-    return texts.select("id", "text").mapInArrow(run, "id bigint, n int, fine binary")
+    return map_arrow(texts.select("id", "text"), run, "id bigint, n int, fine binary")
 
 
-def across(rest: DataFrame, own: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of ids in one bucket but different components whose larger sketches allow the similarity; each pair leaves the smallest key that both have.
+def across(rest: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of ids in one bucket but different components whose larger sketches allow the similarity.
 
-    rest: (key, id, component, main, members). Buckets of up to BLOCK members are packed together, larger ones cut into blocks that meet pairwise.
+    rest: (key, id, component, main, members, strays). Buckets of up to BLOCK members are packed together. In larger ones blocks of strays (members outside
+    the main component) meet blocks of all members, so rows grow with strays times members over BLOCK.
     """
     ids = rest.select("id").distinct()
-    fine = fine_sketches(texts.join(ids, "id", "left_semi")).join(own.select("id", "keys"), "id")
-    limit = most_bits(percent / 100, FINE, FINE_BITS, 4.0)
+    fine = fine_sketches(texts.join(ids, "id", "left_semi"))
+    limit = most_bits(percent / 100, FINE, FINE_BITS)
     few = F.col("members") <= BLOCK
-    packs = max(1, rest.count() // (4 * BLOCK))
-    rows = rest.withColumns({"large": ~few, "blocks": F.when(few, 1).otherwise(F.ceil(F.col("members") / BLOCK)).cast("int"), "pack": F.when(few, F.pmod(F.xxhash64("key"), F.lit(packs))).otherwise(F.col("key"))})
-    rows = rows.join(fine, "id").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    cols = ["large", "pack", "i", "j", "side", "key", "id", "component", "main", "n", "fine", "keys"]
-    left = rows.withColumns({"i": F.col("own"), "j": F.explode(F.expr("sequence(own, blocks - 1)")), "side": F.lit(0)}).select(cols)
-    right = rows.where("large").withColumns({"i": F.explode(F.expr("sequence(0, own)")), "j": F.col("own"), "side": F.lit(1)}).where("i < j").select(cols)
+    packs = max(1, rest.count() // (2 * BLOCK))
+    rows = rest.withColumn("large", ~few).join(fine, "id")
+    cols = ["large", "pack", "i", "j", "side", "key", "id", "component", "n", "fine"]
+    deal = lambda by, n: F.pmod(F.xxhash64("id", F.lit(by)), F.ceil(F.col(n) / BLOCK)).cast("int")
+    every = lambda n: F.explode(F.expr(f"sequence(0, cast(ceil({n} / {BLOCK}) AS int) - 1)"))
+    small = rows.where(few).withColumns({"pack": F.pmod(F.xxhash64("key"), F.lit(packs)), "i": F.lit(0), "j": F.lit(0), "side": F.lit(0)}).select(cols)
+    crowd = rows.where(~few).withColumn("pack", F.col("key"))
+    left = crowd.where("component <> main").withColumns({"i": deal(0, "strays"), "j": every("members"), "side": F.lit(0)}).select(cols)
+    right = crowd.withColumns({"j": deal(1, "members"), "i": every("strays"), "side": F.lit(1)}).select(cols)
 
     def compare(block: pa.Table) -> pa.Table:
-        key, ids, comp, main, n, side = (block.column(c).to_numpy() for c in ("key", "id", "component", "main", "n", "side"))
+        key, ids, comp, n, side = (block.column(c).to_numpy() for c in ("key", "id", "component", "n", "side"))
         bits = np.frombuffer(b"".join(block.column("fine").to_pylist()), "<u8").reshape(len(ids), -1)
-        keys = block.column("keys").combine_chunks()
-        at, flat = np.asarray(keys.offsets), np.asarray(keys.flatten())
         a, b = [], []
         order = np.argsort(key, kind="stable")
         for m in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
-            two = side[m].any()
+            two = block.column("large")[0].as_py()
             x, y = (m[side[m] == 0], m[side[m] == 1]) if two else (m, m)
             for i in x:
-                js = y[(comp[y] != comp[i]) & ((comp[i] != main[i]) | (comp[y] != main[y]))]
+                js = y[comp[y] != comp[i]]
                 if not two:
                     js = js[ids[js] > ids[i]]
                 js = js[np.minimum(n[js], n[i]).astype(np.int64) * 100 >= np.maximum(n[js], n[i]).astype(np.int64) * percent]
                 if not len(js):
                     continue
                 js = js[np.bitwise_count(bits[js] ^ bits[i]).sum(axis=1) <= limit]
-                mine = flat[at[i] : at[i + 1]]
-                for j in js:
-                    if np.intersect1d(mine, flat[at[j] : at[j + 1]])[0] == key[i]:
-                        a.append(min(ids[i], ids[j]))
-                        b.append(max(ids[i], ids[j]))
+                a += np.minimum(ids[i], ids[js]).tolist()
+                b += np.maximum(ids[i], ids[js]).tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return left.union(right).groupBy("large", "pack", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
+    return small.union(left).union(right).groupBy("large", "pack", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
+
+
+SIGNED = "n int, h1 bigint, h2 bigint, keys array<bigint>, " + ", ".join(f"{c} bigint" for c in SKETCH)
+
+
+def signed(runs: list[np.ndarray], samples: int = SAMPLES, banded: int = BANDED) -> dict[str, pa.Array]:
+    """For each list of hashes, of which repeats don't count: its set's size, its 128-bit name, keys of bands and sketch. The sketch takes `samples`, of which the first `banded` make bands."""
+    sizes = np.array([len(r) for r in runs], np.int64)
+    flat, of = np.concatenate([*runs, np.zeros(0, U)]), np.repeat(np.arange(len(runs)), sizes)
+    order = np.lexsort((flat, of))
+    flat, of = flat[order], of[order]
+    new = np.ones(len(flat), bool)
+    new[1:] = (flat[1:] != flat[:-1]) | (of[1:] != of[:-1])
+    flat, n = flat[new], np.bincount(of[new], minlength=len(runs))
+    some = np.flatnonzero(n)
+    names, odd = np.zeros((2, len(runs)), U), np.zeros((len(runs), LONGS), U)
+    keys = np.zeros(0, U)
+    if len(some):
+        starts = (np.cumsum(n) - n)[some]
+        with np.errstate(over="ignore"):
+            names[0, some], names[1, some] = np.add.reduceat(flat, starts), np.add.reduceat(mix(flat + U(0xA0761D6478BD642F)), starts)
+        low = minhash(flat, n[some], _XOR[:samples], _MUL[:samples])
+        keys = band_keys(low[:, :banded]).ravel()
+        for at in range(0, len(some), 256):
+            odd[some[at : at + 256]] = odd_sketch(low[at : at + 256])
+    ends = np.concatenate(([0], np.cumsum((n > 0) * (banded // ROWS)))).astype(np.int32)
+    out = [pa.array(n, pa.int32()), *(pa.array(x.view(np.int64)) for x in names), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64)))]
+    return dict(zip(["n", "h1", "h2", "keys", *SKETCH], [*out, *(pa.array(np.ascontiguousarray(odd[:, i]).view(np.int64)) for i in range(LONGS))]))
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -157,37 +204,17 @@ def signatures(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
-                n, names, keys, odd = [], [], [], []
-                for t in part.column("text").to_pylist():
-                    s = Words(t).shingles()
-                    n.append(len(s))
-                    if not len(s):
-                        names.append((0, 0))
-                        keys.append(np.zeros(0, np.int64))
-                        odd.append(np.zeros(LONGS, np.int64))
-                        continue
-                    with np.errstate(over="ignore"):
-                        names.append((int(s.sum(dtype=U).view(np.int64)), int(mix(s + U(0xA0761D6478BD642F)).sum(dtype=U).view(np.int64))))
-                    m = minhash(s)
-                    keys.append(band_keys(m[:BANDED]).view(np.int64))
-                    odd.append(odd_sketch(m).view(np.int64))
-                names, odd = np.array(names, np.int64).reshape(-1, 2), np.array(odd, np.int64).reshape(-1, LONGS)
-                flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-                ends = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n, pa.int32()), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
-                    + [pa.array(odd[:, i]) for i in range(LONGS)],
-                    names=["doc_id", "n", "h1", "h2", "keys", *SKETCH],
-                )
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n int, h1 bigint, h2 bigint, keys array<bigint>, " + ", ".join(f"{c} bigint" for c in SKETCH))
-
-
-def alike(percent: int, a: str = "a", b: str = "b"):
+                made = signed([Words(t).runs(5) for t in part.column("text").to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *made.values()], names=["doc_id", *made])
+
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id bigint, " + SIGNED)
+
+
+def alike(percent: int, a: str = "a", b: str = "b", samples: int = SAMPLES):
     """The condition on sizes and sketches of two sides of a join."""
     bits = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in SKETCH[1:]), F.bit_count(F.col(f"{a}.o0").bitwiseXOR(F.col(f"{b}.o0"))))
     sizes = F.least(f"{a}.n", f"{b}.n").cast("long") * 100 >= F.greatest(f"{a}.n", f"{b}.n").cast("long") * percent
-    return sizes & (bits <= most_bits(percent / 100))
+    return sizes & (bits <= most_bits(percent / 100, samples))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -223,69 +250,87 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                             break
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    out = table(rows.select("a", "lot", "role", "id", "text").mapInArrow(run, "a bigint, b bigint"))
+    out = table(map_arrow(rows.select("a", "lot", "role", "id", "text"), run, "a bigint, b bigint"))
     drop_table(dealt)
     return out
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, stars: int = 2, few: int = 200) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text).
+def grouped(own: DataFrame, texts_of: Callable[[DataFrame], DataFrame], percent: int, samples: int = SAMPLES, stars: int = 2) -> DataFrame:
+    """(id, component) of the sets that are linked with another one: a table.
 
-    stars: star rounds after the first, at most; they end once pairs across components number fewer than `few` times the documents.
+    own: (id, n, keys, sketch) of distinct sets. texts_of gives (id, text) for a table of ids.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = table(signatures(docs))
-    named = signed.where("n > 0 AND doc_id IS NOT NULL")
-    classes = named.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    rows = table(signed.select("doc_id", "n", "h1", "h2").join(classes, ["h1", "h2"], "left").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")))
-    own = table(named.join(classes, ["h1", "h2"]).where("doc_id = rep").select(F.col("doc_id").alias("id"), "n", "keys", *SKETCH))
-    drop_table(signed)
-    total = rows.count()
-
-    # members of buckets with several
     band = own.select("id", F.explode("keys").alias("key"))
     full = band.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last")
-    crowd = table(band.join(full.select("key", "hub"), "key").distinct())
+    # sums are tables of their own before they are joined, so that adaptive execution can split a common key
+    full = table(full.select("key", "hub"))
+    crowd = table(band.join(full, "key"))  # members of buckets with several
+    drop_table(full)
     sketch = own.select("id", "n", *SKETCH)
-    texts = table(docs.select(F.col("doc_id").alias("id"), "text").join(crowd.select("id").distinct(), "id", "left_semi"))
+    texts = table(texts_of(crowd.select("id").distinct()))
 
     def linked(pairs: DataFrame) -> DataFrame:
         a = sketch.select(F.col("id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("n", *SKETCH)])
-        both = pairs.distinct().join(a, "a").join(sketch.withColumnRenamed("id", "b"), "b")
+        both = pairs.join(a, "a").join(sketch.withColumnRenamed("id", "b"), "b")
         both = both.select(F.struct(F.col("a").alias("id"), *[F.col(f"a_{c}").alias(c) for c in ("n", *SKETCH)]).alias("a"), F.struct(F.col("b").alias("id"), "n", *SKETCH).alias("b"))
-        return confirmed(both.where(alike(percent)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")), texts, percent)
-
-    links = linked(crowd.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")))
+        return confirmed(both.where(alike(percent, samples=samples)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")), texts, percent)
+
+    def merged(group: DataFrame | None, links: DataFrame) -> DataFrame:
+        """Components so far, with the new links."""
+        edges = links if group is None else links.union(group.select(F.col("id").alias("a"), F.col("component").alias("b")))
+        out = table(components(edges))
+        for t in (group, links):
+            if t is not None:
+                drop_table(t)
+        return out
+
+    # a set's smallest hub first: groups of near copies come together by one pair for each member
+    pairs = crowd.groupBy("id").agg(F.min("hub").alias("a")).where("a <> id").select("a", F.col("id").alias("b"))
+    group, rest = merged(None, linked(pairs)), crowd.select("key", "id")
     for turn in range(stars + 1):
-        group = table(components(links))
-        placed = crowd.select("key", "id").join(group, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        # a bucket's largest component needs no comparison within itself
-        counts = placed.groupBy("key", "component").agg(F.count("*").alias("m"))
-        open_ = counts.groupBy("key").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("members"), F.count("*").alias("kinds")).where("kinds > 1")
-        open_ = open_.select("key", F.col("top.component").alias("main"), "members", (F.col("members") - F.col("top.m")).alias("strays"))
+        placed = table(rest.select("key", "id").distinct().join(group, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")))
+        # a bucket's largest component needs no comparison within itself; a bucket of one component is done with
+        who = [F.bit_xor(F.xxhash64(F.lit(i), "id")).alias(f"w{i}") for i in range(2)]
+        counts = placed.groupBy("key", "component").agg(F.count("*").alias("m"), *who)
+        open_ = counts.groupBy("key").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("members"), F.count("*").alias("kinds"), *[F.bit_xor(f"w{i}").alias(f"w{i}") for i in range(2)])
+        # near copies share many buckets with the same members: one of these is enough
+        same = open_.where("kinds > 1").groupBy("w0", "w1", "members").agg(F.min("key").alias("key"), F.first("top").alias("top"))
+        open_ = same.select("key", F.col("top.component").alias("main"), "members", (F.col("members") - F.col("top.m")).alias("strays"))
+        open_, before = table(open_), rest
         rest = table(placed.join(open_, "key"))
-        work = rest.select("key", (F.col("strays") * F.col("members")).alias("w")).distinct().agg(F.sum("w")).first()[0] or 0
-        if not work:
+        for t in (before, placed, open_):
+            drop_table(t)
+        if not rest.limit(1).count():
             break
-        if work <= few * total + 100_000 or turn == stars:
-            more = confirmed(across(rest, own, texts, percent), texts, percent)
-            links = links.union(more)
-            group = table(components(links))
+        if turn == stars:
+            group = merged(group, confirmed(across(rest, texts, percent), texts, percent))
             break
         order = F.xxhash64(F.col("id"), F.lit(turn))
         hubs = rest.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "component")).alias("hub")).select("key", F.col("hub.id").alias("hub"), F.col("hub.component").alias("of"))
         pairs = rest.join(hubs, "key").where("component <> of").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
-        links = links.union(linked(pairs))
-        drop_table(rest)
+        group = merged(group, linked(pairs.distinct()))
+    for t in (crowd, texts, rest):
+        drop_table(t)
+    return group
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    signs = table(signatures(docs))
+    named = signs.where("n > 0 AND doc_id IS NOT NULL")
+    classes = table(named.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")))
+    rows = table(signs.select("doc_id", "n", "h1", "h2").join(classes, ["h1", "h2"], "left").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")))
+    own = table(named.join(classes, ["h1", "h2"]).where("doc_id = rep").select(F.col("doc_id").alias("id"), "n", "keys", *SKETCH))
+    drop_table(signs)
+    drop_table(classes)
+    group = grouped(own, lambda ids: docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi"), percent)
+    drop_table(own)
     out = rows.join(group, rows["rep"] == group["id"], "left").select(
         "doc_id",
         F.col("n").cast("long").alias("n_shingles"),
         F.coalesce("component", "rep", "doc_id").alias("component_id"),
     )
-    for t in (own, crowd, texts):
-        drop_table(t)
-    del spark
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
