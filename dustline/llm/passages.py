@@ -1,30 +1,26 @@
-"""Substring dedup: paragraph MinHash banding, exact confirmation, removal by components.
+"""Substring dedup: paragraph MinHash banding, exact confirmation, removal by components; and equal stretches across paragraphs.
 
-Words as in the other operators (runs of other characters than white space, A-Z lowered). Two kinds of paragraphs:
+Words as in the other operators (runs of other characters than white space, A-Z lowered). A passage has at least `least` words: shorter
+repeats are idioms and headings, which a cut would tear out of clean documents. Two kinds of passages are found:
 
-- lines of at least `least` words: 20 MinHash samples of their five-word shingles in 10 bands of 2 (a pair of lines at a similarity of
-  0.75 is missed once in 4,000 times); colliding lines are confirmed by exact Jaccard similarity >= 0.75.
-- blocks of 32 words that begin where the text itself says: at the MinHash (one permutation) of the first run of shingles of each window of
-  `least` words, so equal windows hold the same block at the same place wherever they stand in a line or across lines. Equal blocks collide; at
-  confirmation both texts are compared word by word around them, and equal stretches of at least `least` words count.
+- paragraphs: lines of at least `least` words. Those with equal sets of five-word shingles are one; 60 MinHash samples make 20 bands of 3 (a pair at a similarity of
+  0.75 is missed once in 60,000 times); colliding lines are joined, confirmed by exact Jaccard similarity >= 0.75 and clustered, by near_dup.grouped:
+  stars in buckets, then every pair of a bucket that is in different components, in blocks. So no pair of a bucket is left uncompared.
+- stretches: equal runs of `least` words, wherever they stand in a line or across lines. Each such window is led by a block of 20 words in it that begins
+  at the MinHash of the window's possible places, so equal windows have equal blocks at the same place. The stretch that a block's windows cover is its context:
+  places with one block and one context have the same windows. Only where a block has several contexts are windows hashed one by one (96 bits), once for each
+  context. So equal windows of two documents are found without exception, and rows follow blocks and different contexts, not copies. Equality is
+  transitive, so no pairs are made: the smallest doc_id keeps a window, and windows in a row with one keeper are one passage.
 
-Each bucket links its members to its first one (smallest doc_id, then place), so a passage shared by n documents gives n links. What that leaves is compared too:
+Of a component of lines the first line (by doc_id, then place) stays. What repeats within one document only isn't touched.
 
-- windows of a bucket's blocks that no stretch confirmed with its first place covers (the first place's surroundings differ) meet by the hash of the
-  whole window. Equality is transitive, so there the first place is enough, and as equal windows have the same block, they are covered or left together.
-- lines of a bucket that are in several components are compared across components as in near_dup: stars around other members where very many
-  pairs are left, then all of them by larger sketches in bounded blocks (a pair at exactly 0.75 is missed there once in 30,000 times).
-
-Links of lines make components, of which the first line stays; a stretch stays in the document of its first occurrence. What repeats
-within one document only isn't touched.
-
-Rows: null, empty and short texts have no passages; rows without doc_id take no part; of rows that share a doc_id each is searched and
-cleaned like the document; long texts count whole; an empty table gives an empty one.
+Rows: null, empty and short texts have no passages; rows without doc_id take no part; rows that share a doc_id are versions of one document, told apart
+by their texts; repeated rows are treated alike; long texts count whole; an empty table gives an empty one; a tie of places can't be, as places differ.
+Only doc_id and text are read, and dedup() keeps all other columns but those named __spans, __id and __t.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,348 +30,233 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dustline.llm import near_dup
-from dustline.llm.common import U, WORD, Words, components, drop_table, jaccard_parts, mix, pieces, table
-
-LEAST, PERCENT = 50, 75
-RUN, BLOCK, BANDS, ROWS = 20, 32, 10, 2
-LOT = 256
-_rng = np.random.default_rng(4711)
-_XOR = _rng.integers(0, 2**64, BANDS * ROWS, dtype=U)[:, None]
-_MUL = (_rng.integers(0, 2**64, BANDS * ROWS, dtype=U) | U(1))[:, None]
+from dustline.llm.common import U, WORD, Words, drop_table, map_arrow, pieces, table
+
+LEAST, PERCENT, BLOCK, SAMPLES = 50, 75, 20, 64
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def anchors(shingles: np.ndarray, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the last smallest hash of each run of so many shingles; for each, the first run that has it and how many have it."""
+def anchors(shingles: np.ndarray, run: int, step: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the last smallest hash (44 bits) of each run of so many shingles; for each, the first run that has it and how many have it."""
     if len(shingles) < run:
         return (np.zeros(0, np.int64),) * 3
-    v = np.lib.stride_tricks.sliding_window_view(shingles, run)
-    out = [s + np.arange(len(p)) + run - 1 - p[:, ::-1].argmin(axis=1) for s in range(0, len(v), 65_536) for p in (v[s : s + 65_536],)]
-    return np.unique(np.concatenate(out), return_index=True, return_counts=True)
+    mask, out = U(2**20 - 1), []
+    for s in range(0, len(shingles) - run + 1, step):
+        part = shingles[s : s + step + run - 1]
+        low = (part & ~mask) | (mask - np.arange(len(part), dtype=U))  # among equal ones the last is the smallest
+        have = 1
+        while 2 * have <= run:
+            low, have = np.minimum(low[:-have], low[have:]), 2 * have
+        if have < run:
+            low = np.minimum(low[: have - run], low[run - have :])
+        out.append(s + (mask - (low & mask)).astype(np.int64))
+    at = np.concatenate(out)
+    first = np.flatnonzero(np.diff(at, prepend=-1))  # places never go back
+    return at[first], first, np.diff(np.append(first, len(at)))
+
+
+def word_starts(raw: bytes) -> np.ndarray:
+    """Byte offsets of the words."""
+    space = _SPACE[np.frombuffer(raw, np.uint8)]
+    return np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
 
 
 def lines(text: str) -> np.ndarray:
     """[first word, words] of each line with words."""
-    b = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    space = _SPACE[b]
-    starts = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
-    line = np.searchsorted(np.flatnonzero(b == 10), starts)
+    raw = text.encode("utf-8", "surrogatepass")
+    starts = word_starts(raw)
+    line = np.searchsorted(np.flatnonzero(np.frombuffer(raw, np.uint8) == 10), starts)
     first = np.flatnonzero(np.diff(line, prepend=-1))
     return np.column_stack((first, np.diff(np.concatenate((first, [len(starts)])))))
 
 
-def units(docs: DataFrame, least: int) -> DataFrame:
-    """(key, doc_id, pos, len, kind, win, wins): kind 0 blocks, with the windows of `least` words whose first run they lead; kind 1 lines, once for each band."""
-    span = max(1, min(RUN, least - BLOCK + 1))
+def _joined(x: list, t) -> np.ndarray:
+    return np.concatenate(x).astype(t) if x else np.zeros(0, t)
+
+
+def paragraphs(docs: DataFrame, least: int) -> DataFrame:
+    """(doc_id, t, pos, len) and signature of each line of at least `least` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = np.arange(1, BANDS + 1, dtype=U) * U(0x9E3779B97F4A7C15)
         for batch in batches:
             for part in pieces(batch):
-                keys, ids, pos, size, kind, win, wins = [], [], [], [], [], [], []
-
-                def put(i, k, p, n, what, at, m):
-                    keys.append(k)
-                    ids.append(np.full(len(k), i, np.int64))
-                    pos.append(p)
-                    size.append(n)
-                    kind.append(np.full(len(k), what, np.int8))
-                    win.append(at)
-                    wins.append(m)
-
-                for i, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                    w = Words(t)
-                    if len(w) < max(BLOCK, least):
-                        continue
-                    r = w.runs(5)
-                    at, run_at, n_runs = anchors(r[: len(w) - max(BLOCK, least) + span], span)
-                    put(i, w.hashes(at, at + BLOCK - 1), at, np.full(len(at), BLOCK), 0, run_at, n_runs)
-                    for first, n in lines(t):
+                place, runs = [], []
+                for i, t, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "t", "text"))):
+                    r = None
+                    for first, n in lines(text).tolist():
                         if n >= least:
-                            with np.errstate(over="ignore"):
-                                low = mix(((r[None, first : first + n - 4] ^ _XOR) * _MUL).min(axis=1)).reshape(BANDS, ROWS)
-                                k = bands.copy()
-                                for j in range(ROWS):
-                                    k = mix(k * U(0xD6E8FEB86659FD93) + low[:, j])
-                            put(i, k, np.full(BANDS, first), np.full(BANDS, n), 1, np.zeros(BANDS), np.zeros(BANDS))
-                cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cat(keys, U).view(np.int64)), pa.array(cat(ids, np.int64)), pa.array(cat(pos, np.int32)), pa.array(cat(size, np.int32)), pa.array(cat(kind, np.int8))]
-                    + [pa.array(cat(win, np.int32)), pa.array(cat(wins, np.int16))],
-                    names=["key", "doc_id", "pos", "len", "kind", "win", "wins"],
-                )
-
-    return docs.mapInArrow(run, "key bigint, doc_id bigint, pos int, len int, kind tinyint, win int, wins smallint")
-
-
-def _merged(found: list[dict]) -> list[tuple]:
-    """(kind, hub, hub_pos, pos, len): blocks at one distance from one hub's, merged where they follow each other; lines as they are."""
-    out, open_ = [], {}
-    for m in sorted(found, key=lambda m: (m["pos"], m["len"])):
-        if m["kind"] == 1:
-            out.append((1, m["hub"], m["hub_pos"], m["hub_len"], m["pos"], m["len"]))
-            continue
-        at = (m["hub"], m["hub_pos"] - m["pos"])
-        last = open_.get(at)
-        if last and m["pos"] <= last[1] + 4 * RUN:
-            last[1] = m["pos"] + m["len"]
-        else:
-            if last:
-                out.append((0, at[0], last[0] + at[1], 0, last[0], last[1] - last[0]))
-            open_[at] = [m["pos"], m["pos"] + m["len"]]
-    out += [(0, hub, p + d, 0, p, e - p) for (hub, d), (p, e) in open_.items()]
-    return list(dict.fromkeys(out))
-
-
-def claims(matched: DataFrame, texts: DataFrame) -> DataFrame:
-    """What each document claims to share with a hub, with its own words there (of blocks also those around them)."""
-    each = matched.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "len", "kind", "hub", "hub_pos", "hub_len")).alias("found"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["hub", "doc_id", "kind", "hub_pos", "hub_len", "pos", "len", "before", "words"]
-        kinds = [pa.int64(), pa.int64(), pa.int8(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-        for batch in batches:
-            for part in pieces(batch, 4 << 20):
-                rows = []
-                for i, t, found in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "found"))):
-                    w = Words(t)
-                    for kind, hub, q, qn, p, n in _merged(found):
-                        if p + n > len(w):  # of another row with this doc_id
-                            continue
-                        a, b = (max(0, p - 2 * LEAST), min(len(w), p + n + 2 * LEAST)) if kind == 0 else (p, p + n)
-                        rows.append((hub, i, kind, q, qn, p, n, p - a, w.norm[w.starts[a] : w.ends[b - 1]]))
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(9)], names=names)
-
-    return texts.join(each, "doc_id").mapInArrow(run, "hub bigint, doc_id bigint, kind tinyint, hub_pos int, hub_len int, pos int, len int, before int, words binary")
+                            if r is None:
+                                r = Words(text).runs(5)
+                            place.append((i, t, first, n))
+                            runs.append(r[first : first + max(1, n - 4)])
+                cols = [pa.array([p[k] for p in place], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))]
+                made = near_dup.signed(runs, SAMPLES)
+                yield pa.RecordBatch.from_arrays([*cols, *made.values()], names=["doc_id", "t", "pos", "len", *made])
 
+    return map_arrow(docs, run, "doc_id bigint, t bigint, pos int, len int, " + near_dup.SIGNED)
 
-def confirmed(claimed: DataFrame, texts: DataFrame, least: int, percent: int) -> DataFrame:
-    """(doc_id, pos, len, hub, hub_pos, hub_len, kind, similarity) of the claims that hold against the hub's text.
 
-    A hub's text meets its claims in lots of about LOT, sorted behind it; a task holds one hub and one claim at a time.
-    """
-    lots = claimed.groupBy("hub").agg(F.ceil(F.count("*") / LOT).alias("lots"))
-    dealt = claimed.join(lots, "hub").withColumn("lot", F.pmod(F.xxhash64("doc_id", "pos"), F.col("lots")).cast("int")).drop("lots")
-    hubs = lots.select("hub", F.explode(F.expr("sequence(0, cast(lots - 1 AS int))")).alias("lot"))
-    hubs = hubs.join(texts.select(F.col("doc_id").alias("hub"), "text"), "hub")
-    none = [F.lit(None).cast(t).alias(n) for n, t in (("doc_id", "bigint"), ("kind", "tinyint"), ("hub_pos", "int"), ("hub_len", "int"), ("pos", "int"), ("len", "int"), ("before", "int"))]
-    names = ["hub", "lot", "role", "doc_id", "kind", "hub_pos", "hub_len", "pos", "len", "before", "text"]
-    rows = dealt.withColumn("role", F.lit(1)).withColumnRenamed("words", "text").select(names)
-    rows = rows.union(hubs.select("hub", "lot", F.lit(0).alias("role"), *none, F.col("text").cast("binary").alias("text")).select(names))
-    rows = rows.repartition("hub", "lot").sortWithinPartitions("hub", "lot", "role")
-
-    def check(own: Words, own_words: list[bytes], r: dict) -> Iterator[tuple]:
-        words = r["text"].split(b" ")
-        if r["kind"] == 1:
-            q, n = r["hub_pos"], r["hub_len"]
-            if q + n > len(own):
-                return
-            mine = Words(r["text"].decode("utf-8", "surrogatepass")).shingles()
-            first = np.arange(q, q + n - 4)
-            both, either = jaccard_parts(np.unique(own.hashes(first, first + 4)), mine)
-            if 100 * both >= percent * either:
-                yield r["pos"], r["len"], q, n, both / either
-            return
-        shift = r["hub_pos"] - r["before"]  # of the claim's first word in the hub
-        low, high = max(0, -shift), min(len(words), len(own_words) - shift)
-        start = low
-        for k in range(low, high + 1):
-            if k == high or words[k] != own_words[k + shift]:
-                if k - start >= least:
-                    yield r["pos"] - r["before"] + start, k - start, start + shift, k - start, 1.0
-                start = k + 1
+def line_texts(places: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, text): the words of each place (id, doc_id, t, pos, len)."""
+    each = places.groupBy("doc_id", "t").agg(F.collect_list(F.struct("id", "pos", "len")).alias("found"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own = None, []
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int8(), pa.float64()]
         for batch in batches:
             for part in pieces(batch):
-                out = []
-                for r in part.to_pylist():
-                    if at != (r["hub"], r["lot"]):
-                        at, own = (r["hub"], r["lot"]), []
-                    if r["role"] == 0:
-                        w = Words(r["text"].decode("utf-8", "surrogatepass") if r["text"] else None)
-                        own.append((w, w.norm.split(b" ")))
-                        continue
-                    for w, split in own:
-                        for p, n, q, qn, s in check(w, split, r):
-                            out.append((r["doc_id"], p, n, r["hub"], q, qn, r["kind"], s))
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kinds[k]) for k in range(8)], names=["doc_id", "pos", "len", "hub", "hub_pos", "hub_len", "kind", "similarity"])
-
-    return rows.mapInArrow(run, "doc_id bigint, pos int, len int, hub bigint, hub_pos int, hub_len int, kind tinyint, similarity double").distinct()
-
-
-MATCH = ["doc_id", "pos", "len", "kind", "hub", "hub_pos", "hub_len"]
-
-
-def held_with_hubs(matched: DataFrame, docs: DataFrame, least: int, percent: int) -> DataFrame:
-    """Table of what is confirmed of the matches (MATCH)."""
-    matched = table(matched.select(*MATCH))
-    ids = matched.select("doc_id").union(matched.select("hub")).distinct()
-    texts = table(docs.join(ids, "doc_id", "left_semi"))
-    claimed = table(claims(matched, texts))
-    held = table(confirmed(claimed, texts, least, percent))
-    for t in (matched, texts, claimed):
-        drop_table(t)
-    return held
-
-
-def windows_left(found: DataFrame, first: DataFrame, held: DataFrame, docs: DataFrame, least: int) -> DataFrame:
-    """Matches by whole windows, of those that no stretch confirmed with their bucket's first place covers."""
-    # a bucket of two places has been compared in full
-    places = found.where("kind = 0").join(first.where("places > 2").select("key", "hub"), "key").where("doc_id <> hub.doc_id OR pos <> hub.pos")
-    places = places.select("key", "doc_id", "win", "wins", "pos", F.col("hub.doc_id").alias("h"), (F.col("hub.pos") - F.col("pos")).alias("shift"))
-    ends = held.where("kind = 0").select(F.col("doc_id").alias("d"), F.col("hub").alias("g"), (F.col("hub_pos") - F.col("pos")).alias("by"), F.col("pos").alias("s"), (F.col("pos") + F.col("len")).alias("e"))
-    inside = (F.col("doc_id") == F.col("d")) & (F.col("h") == F.col("g")) & (F.col("shift") == F.col("by")) & (F.col("s") <= F.col("pos")) & (F.col("pos") + BLOCK <= F.col("e"))
-    rest = places.join(ends, inside, "left").where(F.col("s").isNull() | (F.col("win") < F.col("s")) | (F.col("win") + F.col("wins") - 1 + least > F.col("e")))
-    rest = table(rest.select("key", "doc_id", "win", "wins", "s", "e"))
-    several = rest.groupBy("key").agg(F.min("doc_id").alias("one"), F.max("doc_id").alias("other")).where("one <> other").select("key")
-    each = rest.join(several, "key", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("win", "wins", "s", "e")).alias("found"))
+                ids, out = [], []
+                for text, found in zip(*(part.column(c).to_pylist() for c in ("text", "found"))):
+                    w = Words(text)
+                    for m in found:
+                        ids.append(m["id"])
+                        out.append(w.norm[w.starts[m["pos"]] : w.ends[m["pos"] + m["len"] - 1]].decode("utf-8", "surrogatepass"))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], names=["id", "text"])
+
+    return map_arrow(docs.join(each, ["doc_id", "t"]).select("text", "found"), run, "id bigint, text string").dropDuplicates(["id"])
+
+
+def similar_lines(docs: DataFrame, least: int, percent: int) -> DataFrame:
+    """(doc_id, t, pos, len, component) of lines that are alike, if those of several documents are."""
+    marked = table(paragraphs(docs, least).withColumn("id", F.monotonically_increasing_id()))
+    sets = table(marked.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("m")))
+    own = table(marked.join(sets.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", "keys", *near_dup.SKETCH))
+    place = marked.select("id", "doc_id", "t", "pos", "len", "h1", "h2")
+    group = near_dup.grouped(own, lambda ids: line_texts(place.join(ids, "id"), docs), percent, SAMPLES)
+    several = sets.join(group, sets["rep"] == group["id"], "left").where("m > 1 OR component IS NOT NULL").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
+    several = table(several)
+    placed = table(place.join(several, ["h1", "h2"]).select("doc_id", "t", "pos", "len", "component"))  # of repeated rows each
+    across = placed.groupBy("component").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("component")
+    across = table(across)
+    out = table(placed.join(across, "component").distinct())
+    for x in (marked, sets, own, group, several, placed, across):
+        drop_table(x)
+    return out
+
+
+def blocks(docs: DataFrame, least: int) -> DataFrame:
+    """(key, context, doc_id, t, win, wins): each block that leads windows of `least` words, a hash of all that they cover, the first of them and how many."""
+    size = min(BLOCK, least)
+    span = least - size + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
-                keys, ids, pos = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                for i, t, found in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "found"))):
-                    w = Words(t)
-                    at = [np.zeros(0, np.int64)]
-                    for m in found:
-                        k = np.arange(m["win"], m["win"] + m["wins"])
-                        at.append(k if m["s"] is None else k[(k < m["s"]) | (k + least > m["e"])])
-                    at = np.unique(np.concatenate(at))
-                    at = at[at + least <= len(w)]  # others are of another row with this doc_id
-                    keys.append(w.hashes(at, at + least - 1))
+                keys, contexts, ids, ts, win, wins = [], [], [], [], [], []
+                for i, t, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "t", "text"))):
+                    w = Words(text)
+                    if len(w) < least:
+                        continue
+                    starts = np.arange(len(w) - size + 1)
+                    at, first, n = anchors(w.hashes(starts, np.minimum(starts + 4, starts + size - 1)), span)
+                    keys.append(w.hashes(at, at + size - 1).view(np.int64))
+                    contexts.append(w.hashes(first, first + n + least - 2).view(np.int64))
                     ids.append(np.full(len(at), i, np.int64))
-                    pos.append(at)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(pos).astype(np.int32))], names=["key", "doc_id", "pos"])
-
-    windows = table(docs.join(each, "doc_id").select("doc_id", "text", "found").mapInArrow(run, "key bigint, doc_id bigint, pos int"))
-    hubs = windows.groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("hub"), F.max("doc_id").alias("last")).where("hub.doc_id <> last")
-    met = windows.join(hubs.select("key", "hub"), "key").where("doc_id <> hub.doc_id")
-    # windows in a row at one distance from one hub's are one match
-    met = met.select("doc_id", "pos", F.col("hub.doc_id").alias("hub"), (F.col("hub.pos") - F.col("pos")).alias("shift"))
-    met = met.withColumn("row", F.col("pos") - F.dense_rank().over(Window.partitionBy("doc_id", "hub", "shift").orderBy("pos")))
-    met = met.groupBy("doc_id", "hub", "shift", "row").agg(F.min("pos").alias("pos"), (F.max("pos") - F.min("pos") + least).alias("len"))
-    met = table(met.select("doc_id", "pos", "len", F.lit(0).cast("tinyint").alias("kind"), "hub", (F.col("pos") + F.col("shift")).alias("hub_pos"), F.col("len").alias("hub_len")))
-    for t in (rest, windows):
-        drop_table(t)
-    return met
+                    ts.append(np.full(len(at), t, np.int64))
+                    win.append(first)
+                    wins.append(n)
+                cols = [_joined(keys, np.int64), _joined(contexts, np.int64), _joined(ids, np.int64), _joined(ts, np.int64), _joined(win, np.int32), _joined(wins, np.int16)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "context", "doc_id", "t", "win", "wins"])
 
+    return map_arrow(docs, run, "key bigint, context bigint, doc_id bigint, t bigint, win int, wins smallint")
 
-def line_texts(places: DataFrame, docs: DataFrame) -> DataFrame:
-    """(id, text): the words of each place (doc_id, pos, len)."""
-    each = places.select("doc_id", "pos", "len").distinct().groupBy("doc_id").agg(F.collect_list(F.struct("pos", "len")).alias("found"))
+
+def windows(several: DataFrame, docs: DataFrame, least: int) -> DataFrame:
+    """(hash, more, key, context, first, last, at, pos): hashes of the windows of one place of each context; at counts within the context, pos in the text."""
+    each = several.groupBy(F.col("first").alias("doc_id"), "t").agg(F.collect_list(F.struct("key", "context", "last", "win", "wins")).alias("found"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["hash", "more", "key", "context", "first", "last", "at", "pos"]
+        kinds = [np.int64, np.int32, np.int64, np.int64, np.int64, np.int64, np.int32, np.int32]
         for batch in batches:
-            for part in pieces(batch, 4 << 20):
-                rows = []
-                for i, t, found in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "found"))):
-                    w = Words(t)
-                    rows += [(i, m["pos"], w.norm[w.starts[m["pos"]] : w.ends[m["pos"] + m["len"] - 1]].decode("utf-8", "surrogatepass")) for m in found if m["pos"] + m["len"] <= len(w)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.string()))], names=["doc_id", "pos", "text"])
-
-    cut = docs.join(each, "doc_id").select("doc_id", "text", "found").mapInArrow(run, "doc_id bigint, pos int, text string")
-    return cut.select(F.xxhash64("doc_id", "pos").alias("id"), "text")
-
-
-def lines_left(found: DataFrame, first: DataFrame, held: DataFrame, docs: DataFrame, least: int, percent: int, stars: int = 2, few: int = 200) -> DataFrame:
-    """held with what else holds between lines of one bucket that are in different components."""
-    # a bucket of two places has been compared in full
-    crowd = table(found.where("kind = 1").join(first.where("places > 2").select("key"), "key", "left_semi").select("key", F.xxhash64("doc_id", "pos").alias("id"), "doc_id", "pos", "len").distinct())
-    for turn in range(stars + 1):
-        similar = held.where("kind = 1")
-        group = components(similar.select(F.xxhash64("doc_id", "pos").alias("a"), F.xxhash64("hub", "hub_pos").alias("b")))
-        placed = crowd.join(group, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        counts = placed.groupBy("key", "component").agg(F.count("*").alias("m"))
-        open_ = counts.groupBy("key").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("members"), F.count("*").alias("kinds")).where("kinds > 1")
-        open_ = open_.select("key", F.col("top.component").alias("main"), "members", (F.col("members") - F.col("top.m")).alias("strays"))
-        rest = table(placed.join(open_, "key"))
-        work, total = rest.select("key", (F.col("strays") * F.col("members")).alias("w")).distinct().agg(F.sum("w"), F.count("*")).first()
-        if not work:
-            break
-        last = work <= few * total + 100_000 or turn == stars
-        place = rest.select("id", "doc_id", "pos", "len").distinct()
-        if last:
-            texts = table(line_texts(place, docs))
-            own = table(crowd.groupBy("id").agg(F.collect_list("key").alias("keys")))
-            pairs = near_dup.across(rest.select("key", "id", "component", "main", "members"), own, texts, percent)
-        else:
-            order = F.xxhash64(F.col("id"), F.lit(turn))
-            hubs = rest.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "component")).alias("star")).select("key", F.col("star.id").alias("b"), F.col("star.component").alias("of"))
-            pairs = rest.join(hubs, "key").where("component <> of").select(F.col("id").alias("a"), "b").distinct()
-        hub = place.select(F.col("id").alias("b"), F.col("doc_id").alias("hub"), F.col("pos").alias("hub_pos"), F.col("len").alias("hub_len"))
-        met = pairs.join(place.withColumnRenamed("id", "a"), "a").join(hub, "b").where("doc_id <> hub").withColumn("kind", F.lit(1).cast("tinyint"))
-        held = held.union(held_with_hubs(met, docs, least, percent))
-        drop_table(rest)
-        if last:
-            drop_table(texts)
-            drop_table(own)
-            break
+            for part in pieces(batch):
+                out = [[] for _ in names]
+                found = part.column("found")
+                offsets, flat = np.asarray(found.offsets), found.values
+                field = {c: np.asarray(flat.field(c)) for c in ("key", "context", "last", "win", "wins")}
+                for k, (i, text) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist())):
+                    w, own = Words(text), slice(offsets[k], offsets[k + 1])
+                    n = field["wins"][own].astype(np.int64)
+                    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    pos = np.repeat(field["win"][own], n) + at
+                    made = w.hashes(pos, pos + least - 1).view(np.int64), w.checks(pos, pos + least - 1), *(np.repeat(field[c][own], n) for c in ("key", "context")), np.full(len(at), i), np.repeat(field["last"][own], n), at, pos
+                    for x, y in zip(out, made):
+                        x.append(y)
+                yield pa.RecordBatch.from_arrays([pa.array(_joined(x, t)) for x, t in zip(out, kinds)], names=names)
+
+    cut = docs.join(each, ["doc_id", "t"]).select("doc_id", "text", "found")
+    return map_arrow(cut, run, "hash bigint, more int, key bigint, context bigint, first bigint, last bigint, at int, pos int")
+
+
+def stretches(docs: DataFrame, least: int) -> DataFrame:
+    """(doc_id, t, pos, len, keeper, keeper_pos): maximal runs of windows that several documents hold, with one keeper each; the keeper's own are among them."""
+    found = table(blocks(docs, least))
+    crowd = found.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), (F.min("context") != F.max("context")).alias("several")).where("a <> b").select("key", "several")
+    # sums are tables of their own before they are joined, so that adaptive execution can split a common block's places
+    crowd = table(crowd)
+    shared = table(found.join(crowd, "key"))
+    drop_table(found)
     drop_table(crowd)
-    return held
+    each = shared.groupBy("key", "context").agg(
+        F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min_by("t", "doc_id").alias("t"), F.min_by("win", "doc_id").alias("win"), F.first("wins").alias("wins"), F.first("several").alias("several")
+    )
+    each = table(each)
+    # a block with one context: its smallest document keeps all its windows
+    names = ["key", "context", "at", "n", "keeper", "keeper_pos"]
+    alone = each.where("NOT several").select("key", "context", F.lit(0).alias("at"), F.col("wins").cast("int").alias("n"), F.col("first").alias("keeper"), F.col("win").alias("keeper_pos"))
+    hashed = table(windows(each.where("several"), docs, least))
+    held = hashed.groupBy("hash", "more").agg(F.min("first").alias("keeper"), F.max("last").alias("last_of_all"), F.min_by("pos", "first").alias("keeper_pos")).where("keeper <> last_of_all")
+    held = table(held.drop("last_of_all"))
+    met = table(hashed.join(held, ["hash", "more"]).select("key", "context", "at", "keeper", "keeper_pos"))
+    row = F.col("at") - F.row_number().over(Window.partitionBy("key", "context", "keeper").orderBy("at"))
+    parts = met.withColumn("row", row).groupBy("key", "context", "keeper", "row").agg(F.min("at").alias("at"), F.count("*").cast("int").alias("n"), F.min("keeper_pos").alias("keeper_pos"))
+    parts = table(alone.select(names).union(parts.select(names)))
+    place = table(shared.join(parts, ["key", "context"]).select("doc_id", "t", (F.col("win") + F.col("at")).alias("pos"), "n", "keeper", "keeper_pos"))
+    for x in (shared, each, hashed, held, met, parts):
+        drop_table(x)
+    # runs that follow each other with one keeper are one passage; no two of a text overlap, as each window has one leader
+    by = Window.partitionBy("doc_id", "t", "keeper").orderBy("pos")
+    place = place.distinct().withColumn("new", F.coalesce((F.lag(F.col("pos") + F.col("n")).over(by) < F.col("pos")).cast("int"), F.lit(1))).withColumn("row", F.sum("new").over(by))
+    own = F.when(F.col("doc_id") == F.col("keeper"), F.min("pos")).otherwise(F.min("keeper_pos"))
+    spans = place.groupBy("doc_id", "t", "keeper", "row").agg(F.min("pos").alias("pos"), (F.max(F.col("pos") + F.col("n")) - F.min("pos") + least - 1).alias("len"), own.alias("keeper_pos"))
+    return table(spans.select("doc_id", "t", "pos", "len", "keeper", "keeper_pos"))
 
 
 def repeated_passages(docs: DataFrame, least: int = LEAST, percent: int = PERCENT) -> DataFrame:
-    """One row for each place of a repeated passage: doc_id, first_word, n_words, kept, keeper_doc_id, keeper_word, component, similarity.
+    """One row for each place of a repeated passage: doc_id, first_word, n_words, kept, keeper_doc_id, keeper_word, component, kind, text_hash.
 
-    kept is true where the passage stays (its keeper). component is the passage's number: that of its keeper's place.
+    kept is true where the passage stays (its keeper). component is the passage's number: that of its keeper's place. kind: paragraph or stretch.
     """
-    docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = table(units(docs, least))
-    first = found.groupBy("key").agg(F.min(F.struct("doc_id", "pos", "len")).alias("hub"), F.max("doc_id").alias("last"), F.count("*").alias("places")).where("hub.doc_id <> last")
-    first = table(first.select("key", "hub", "places"))
-    matched = found.join(first, "key").where("doc_id <> hub.doc_id")
-    matched = matched.select("doc_id", "pos", "len", "kind", F.col("hub.doc_id").alias("hub"), F.col("hub.pos").alias("hub_pos"), F.col("hub.len").alias("hub_len"))
-    held = held_with_hubs(matched, docs, least, percent)
-    met = windows_left(found, first, held, docs, least)
-    more = held_with_hubs(met, docs, least, percent)
-    held = lines_left(found, first, held, docs, least, percent).union(more)
-    for t in (found, first, met):
-        drop_table(t)
-    node = lambda d, p: F.xxhash64(d, p)
-    # lines: components of similar ones, of which the first stays
-    similar = held.where("kind = 1")
-    places = similar.select("doc_id", "pos", "len", "similarity").union(similar.select(F.col("hub").alias("doc_id"), F.col("hub_pos").alias("pos"), F.col("hub_len").alias("len"), F.lit(1.0)))
-    places = places.groupBy("doc_id", "pos").agg(F.max("len").alias("len"), F.min("similarity").alias("similarity")).withColumn("id", node("doc_id", "pos"))
-    group = components(similar.select(node("doc_id", "pos").alias("a"), node("hub", "hub_pos").alias("b")))
-    placed = places.join(group, "id")
-    keeper = placed.groupBy("component").agg(F.min(F.struct("doc_id", "pos")).alias("k"))
-    rows = placed.join(keeper, "component").select("doc_id", F.col("pos").alias("first_word"), F.col("len").alias("n_words"), F.col("k.doc_id").alias("keeper_doc_id"), F.col("k.pos").alias("keeper_word"), "similarity")
-    # stretches: the first occurrence stays
-    equal = held.where("kind = 0")
-    stretch = equal.select("doc_id", F.col("pos").alias("first_word"), F.col("len").alias("n_words"), F.col("hub").alias("keeper_doc_id"), F.col("hub_pos").alias("keeper_word"), F.lit(1.0).alias("similarity"))
-    own = equal.select(F.col("hub").alias("doc_id"), F.col("hub_pos").alias("first_word"), F.col("hub_len").alias("n_words"), F.col("hub").alias("keeper_doc_id"), F.col("hub_pos").alias("keeper_word"), F.lit(1.0).alias("similarity"))
-    out = rows.union(stretch).union(own).distinct().withColumn("kept", (F.col("doc_id") == F.col("keeper_doc_id")) & (F.col("first_word") == F.col("keeper_word")))
-    return out.withColumn("component", node("keeper_doc_id", "keeper_word")).select("doc_id", "first_word", "n_words", "kept", "keeper_doc_id", "keeper_word", "component", "similarity")
-
-
-_WORD = re.compile(WORD)
+    docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
+    similar = similar_lines(docs, least, percent)
+    keeper = table(similar.groupBy("component").agg(F.min(F.struct("doc_id", "pos")).alias("k")))
+    rows = similar.join(keeper, "component").select("doc_id", "t", "pos", "len", F.col("k.doc_id").alias("keeper"), F.col("k.pos").alias("keeper_pos"), F.lit("paragraph").alias("kind"))
+    rows = rows.withColumn("kept", (F.col("doc_id") == F.col("keeper")) & (F.col("pos") == F.col("keeper_pos")))
+    equal = stretches(docs, least).select("doc_id", "t", "pos", "len", "keeper", "keeper_pos", F.lit("stretch").alias("kind"), (F.col("doc_id") == F.col("keeper")).alias("kept"))
+    names = ["doc_id", F.col("pos").alias("first_word"), F.col("len").alias("n_words"), "kept", F.col("keeper").alias("keeper_doc_id"), F.col("keeper_pos").alias("keeper_word")]
+    return rows.unionByName(equal).select(*names, F.xxhash64("keeper", "keeper_pos").alias("component"), "kind", F.col("t").alias("text_hash"))
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
     """The text less the words of the spans (first word, words), each with the white space behind it."""
-    drop = sorted(spans)
-    at = [(m.start(), m.end()) for m in _WORD.finditer(text)]
+    raw = text.encode("utf-8", "surrogatepass")
+    at = word_starts(raw)
     out, done = [], 0
-    for first, n in drop:
+    for first, n in sorted(spans):
         if first >= len(at):
             continue
-        start, end = at[first][0], at[first + n][0] if first + n < len(at) else len(text)
+        start, end = int(at[first]), int(at[first + n]) if first + n < len(at) else len(raw)
         if start > done:
-            out.append(text[done:start])
+            out.append(raw[done:start])
         done = max(done, end)
-    out.append(text[done:])
-    return "".join(out)
+    out.append(raw[done:])
+    return b"".join(out).decode("utf-8", "surrogatepass")
 
 
 def dedup(docs: DataFrame, least: int = LEAST, percent: int = PERCENT) -> DataFrame:
     """docs without what repeats: text (and n_chars, if there) change, documents of which nothing is left go, all else stays as it is."""
     spans = repeated_passages(docs, least, percent).where("NOT kept")
-    each = spans.groupBy("doc_id").agg(F.collect_set(F.struct("first_word", "n_words")).alias("__spans")).withColumnRenamed("doc_id", "__id")
-    both = docs.join(each, docs["doc_id"] == each["__id"], "left").drop("__id")
+    each = table(spans.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__t")).agg(F.collect_set(F.struct("first_word", "n_words")).alias("__spans")))
+    both = docs.join(each, (docs["doc_id"] == each["__id"]) & (F.xxhash64(docs["text"]) == each["__t"]), "left").drop("__id", "__t")
 
     @F.pandas_udf(T.StringType())
     def cut(text, spans):
