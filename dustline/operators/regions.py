@@ -76,32 +76,41 @@ def guarded(mask: DataFrame) -> DataFrame:
     return mask.join(ok, F.col("frame_id") == F.col("__f")).withColumn("mask", F.when(F.col("__all") == 1, F.raise_error(F.lit("a frame's mask leaves no context"))).otherwise(F.col("mask"))).drop("__f", "__all")
 
 
-def distances(mask: DataFrame, column: str = "mask") -> DataFrame:
-    """Chessboard distance of mask pixels to the nearest other pixel of the frame; what lies outside the frame is no background. Erodes a frame's plane until nothing is left."""
+def distances(lab: DataFrame, size: DataFrame) -> DataFrame:
+    """Chessboard distance of labelled pixels to the nearest pixel outside the mask; what lies outside the frame is no background.
+
+    lab: (frame_id, y, x, label), size: (frame_id, h, w). A task holds one region's box: regions don't touch, so on the way to
+    another region a pixel outside both is always nearer, and a region is eroded on its own.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "x"], kind="stable")
-        h, w = int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1
-        left = np.pad(pdf["m"].to_numpy(bool).reshape(h, w), 1, constant_values=True)
-        dist = np.zeros((h, w), np.int32)
-        while left[1:-1, 1:-1].any() and not left.all():
-            dist += left[1:-1, 1:-1]
-            v = left[:-2] & left[1:-1] & left[2:]
-            left[1:-1, 1:-1] = v[:, :-2] & v[:, 1:-1] & v[:, 2:]
-        y, x = np.nonzero(dist)
-        return pd.DataFrame({"frame_id": pdf["frame_id"].iloc[0], "y": y, "x": x, "distance": dist[y, x]})
-
-    return mask.select("frame_id", "y", "x", F.col(column).alias("m")).groupBy("frame_id").applyInPandas(run, "frame_id string, y int, x int, distance int")
-
-
-def capped_distance(df: DataFrame, column: str, cap: int = P.FEATHER) -> DataFrame:
-    """The same up to a small cap, by as many rounds of 3 x 3 minima (window expressions)."""
-    out = df.withColumn("__k", F.col(column).cast("int")).withColumn("distance", F.col("__k"))
-    for _ in range(cap - 1):
-        out = out.withColumn("__k", F.min("__k").over(by_column().rowsBetween(-1, 1)))
-        out = out.withColumn("__k", F.min("__k").over(by_row().rowsBetween(-1, 1)))
-        out = out.withColumn("distance", F.col("distance") + F.col("__k"))
-    return out.drop("__k")
+        y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
+        h, w, top, side = int(pdf["h"].iloc[0]), int(pdf["w"].iloc[0]), int(y.min()), int(x.min())
+        left = np.zeros((int(y.max()) - top + 3, int(x.max()) - side + 3), bool)  # with a ring around the box
+        left[y - top + 1, x - side + 1] = True
+        beyond = np.zeros_like(left)  # of the ring, what is no pixel of the frame
+        beyond[0], beyond[-1] = top == 0, y.max() == h - 1
+        beyond[:, 0] |= side == 0
+        beyond[:, -1] |= bool(x.max() == w - 1)
+        left |= beyond
+        dist = np.zeros(left.shape, np.int32)
+        inner = ~beyond
+        while (left & inner).any() and not left.all():
+            dist += left
+            v = left.copy()
+            v[1:-1] = left[:-2] & left[1:-1] & left[2:]
+            out = v.copy()
+            out[:, 1:-1] = v[:, :-2] & v[:, 1:-1] & v[:, 2:]
+            left = out | beyond
+        return pd.DataFrame({"frame_id": pdf["frame_id"].to_numpy(), "label": pdf["label"].to_numpy(), "y": y, "x": x, "distance": dist[y - top + 1, x - side + 1]})
+
+    px = lab.join(size, "frame_id").select("frame_id", "label", "y", "x", "h", "w")
+    return px.groupBy("frame_id", "label").applyInPandas(run, "frame_id string, label int, y int, x int, distance int")
+
+
+def frame_sizes(px: DataFrame) -> DataFrame:
+    """(frame_id, h, w)."""
+    return px.groupBy("frame_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
 
 
 def dilate(df: DataFrame, column: str, margin: int = P.ROUTING_MARGIN) -> DataFrame:
@@ -113,8 +122,8 @@ def dilate(df: DataFrame, column: str, margin: int = P.ROUTING_MARGIN) -> DataFr
 
 def region_table(mask: DataFrame, lab: DataFrame, min_area: int = P.ROUTING_MIN_AREA, min_radius: int = P.ROUTING_MIN_RADIUS) -> DataFrame:
     """(frame_id, label, y0, x0, y1, x1, area, radius, reason, perimeter): boxes are half open; perimeter marks the region that holds the whole border of its frame."""
-    size = mask.groupBy(F.col("frame_id").alias("__f")).agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
-    px = lab.join(distances(mask), ["frame_id", "y", "x"]).join(size, F.col("frame_id") == F.col("__f"))
+    size = frame_sizes(mask)
+    px = distances(lab, size).join(size, "frame_id")
     edge = (F.col("y") == 0) | (F.col("x") == 0) | (F.col("y") == F.col("h") - 1) | (F.col("x") == F.col("w") - 1)
     t = px.groupBy("frame_id", "label").agg(
         F.min("y").alias("y0"), F.min("x").alias("x0"), (F.max("y") + 1).alias("y1"), (F.max("x") + 1).alias("x1"), F.count("*").alias("area"), F.max("distance").alias("radius"),
@@ -204,11 +213,6 @@ def within_budget(c: DataFrame, limit: str = P.ROUTING_MAX_FRACTION) -> DataFram
     return c.withColumn("within", F.col("synth_pixels") * f.denominator <= F.col("frame_pixels") * f.numerator)
 
 
-def require_budget(c: DataFrame, limit: str = P.ROUTING_MAX_FRACTION) -> DataFrame:
-    """Raises before anything is synthesised if a frame is over its budget."""
-    return within_budget(c, limit).withColumn("within", F.when(F.col("within"), True).otherwise(F.raise_error(F.lit("synthesis exceeds the frame's budget"))))
-
-
 def route(mask: DataFrame, limit: str = P.ROUTING_MAX_FRACTION, **policy) -> dict[str, DataFrame]:
     """All tables of a routing: labels, regions, synth, final, finals, census."""
     mask = cut(guarded(mask.select("frame_id", "y", "x", "mask")))

@@ -127,3 +127,14 @@ def rendered(scored: DataFrame, values: DataFrame) -> DataFrame:
 def counters(out: DataFrame) -> DataFrame:
     n = lambda c: F.sum(F.col(c).cast("long")).alias(f"{c}_pixels")
     return out.groupBy("frame_id").agg(F.count("*").alias("pixels"), n("attempted"), n("written"), n("changed"))
+
+
+def draw_probe(k: float, w: float, channel: int, state: int = P.LCG_SEED) -> tuple[int, int]:
+    """How often a channel of one site draws (none outside the bounds, one if the original is taken after the first draw, else two), and the state after it."""
+    low, high = dither_bounds()
+    z, step = np.array([k]), lambda s: (P.LCG_FACTOR * s + P.LCG_STEP) & P.LCG_MASK
+    if not low < np.float32(k) < high:
+        return 0, state
+    first = step(state)
+    moved = z + dither(z, np.array([P.DITHER_SCALES[channel]]), np.array([first]), low, high)
+    return (1, first) if moved[0] <= np.float64(np.float32(w)) else (2, step(first))

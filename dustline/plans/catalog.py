@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from dustline import profile as P
 from dustline.functions import pixel as X
 from dustline.operators import analysis, banded, composite, prepass, regions, stencil, writer
+from dustline.plans import receipts
 from dustline.plans import repair as R
 from dustline.plans.sqltext import FLOOR, dbl, index, inverse, resp, sql
-from dustline.sources import frames
+from dustline.sources import frames, integrity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -200,7 +201,7 @@ def _(spark, sf):
     return prepass.records(frames.prepass_frame(px(spark, sf))).select("valid_pixels", "sum_visible", "sum_infrared", "sum_weight", *dd("mean_visible", "mean_infrared"))
 
 
-@query("prepass_alpha")
+@query("prepass_alpha", sql(f"SELECT 'main' AS frame_id, full_tiles, {ds('alpha', 'alpha_scaled')}, den::DOUBLE AS regression_den, num::DOUBLE AS regression_num, ((mi::DOUBLE - alpha::DOUBLE * mv::DOUBLE) / (1.0::DOUBLE - alpha::DOUBLE))::FLOAT::DOUBLE AS base, {P.PREPASS_MARKER} AS marker FROM prec", "prec"))
 def _(spark, sf):
     r = prepass.base_primary(prepass.records(frames.prepass_frame(px(spark, sf))))
     return r.select("frame_id", "full_tiles", *dd("alpha", "alpha_scaled", "regression_den", "regression_num", "base"), "marker")
@@ -211,12 +212,12 @@ def _(spark, sf):
     return prepass.record_bytes(prepass.records(frames.prepass_frame(px(spark, sf)))).select("frame_id", F.hex("record").alias("record"))
 
 
-@query("acquisition_pairs", "SELECT o_orderkey % 1000 AS same_frame_id, count(*) AS n FROM (SELECT a.o_orderkey FROM orders a WHERE a.o_orderkey % 2 = 0) p GROUP BY ALL")
+@query("acquisition_pairs", "SELECT o_custkey AS same_frame_id, o_orderkey::VARCHAR AS prepass_id, l_orderkey || '/' || l_linenumber AS main_id FROM orders JOIN lineitem ON l_suppkey = o_custkey WHERE o_orderstatus <> 'P'")
 def _(spark, sf):
-    o = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey")
-    both = o.select(F.col("o_orderkey").alias("same_frame_id"), F.col("o_orderkey").cast("string").alias("frame_id"), F.when(F.col("o_orderkey") % 2 == 0, "prepass").otherwise("other").alias("epoch"))
-    main = o.select(F.col("o_orderkey").alias("same_frame_id"), F.col("o_orderkey").cast("string").alias("frame_id"), F.lit("main").alias("epoch"))
-    return prepass.paired(both, main).groupBy((F.col("same_frame_id") % 1000).alias("same_frame_id")).agg(F.count("*").alias("n"))
+    """Orders stand for prepasses (those of status P for captures of a wrong epoch), lineitems for main captures."""
+    o = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_custkey").alias("same_frame_id"), F.col("o_orderkey").cast("string").alias("frame_id"), F.when(F.col("o_orderstatus") == "P", "main").otherwise("prepass").alias("epoch"))
+    m = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_suppkey").alias("same_frame_id"), F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("frame_id"), F.lit("main").alias("epoch"))
+    return prepass.paired(o, m).select("same_frame_id", "prepass_id", "main_id")
 
 
 # neighbourhoods
@@ -286,7 +287,17 @@ def _(spark, sf):
 _K3 = [(dy, dx, w) for dy, dx, w in ((-1, 0, 0.25), (0, -1, 0.5), (0, 0, 1.0), (0, 1, 0.5), (1, 0, 0.25))]
 
 
-@query("kernel_candidate")
+def _kernel_sql() -> str:
+    s = [f"(coalesce({f'lag(score, {-dx})' if dx < 0 else f'lead(score, {dx})'} OVER r, 0) * {w}::FLOAT)" if dy == 0 and dx else f"(coalesce({f'lag(score, {-dy})' if dy < 0 else f'lead(score, {dy})'} OVER c, 0) * {w}::FLOAT)" if dy else f"(score * {w}::FLOAT)" for dy, dx, w in _K3]
+    v = [f"coalesce({f'lag(aux, {-dx})' if dx < 0 else f'lead(aux, {dx})'} OVER r, 0)" if dy == 0 and dx else f"coalesce({f'lag(aux, {-dy})' if dy < 0 else f'lead(aux, {dy})'} OVER c, 0)" if dy else "aux" for dy, dx, w in _K3]
+    num, den = "0.0::FLOAT", "0.0::FLOAT"
+    for a, b in zip(s, v):
+        num, den = f"({num} + ({a} * {b})::FLOAT)::FLOAT", f"({den} + {a})::FLOAT"
+    step = f"SELECT y, x, {num} AS num, {den} AS den FROM scored WINDOW c AS (PARTITION BY x ORDER BY y), r AS (PARTITION BY y ORDER BY x)"
+    return f"SELECT y, x, num::DOUBLE AS num, den::DOUBLE AS den, (CASE WHEN den > 0 THEN num / den ELSE num END)::FLOAT::DOUBLE AS candidate FROM ({step})"
+
+
+@query("kernel_candidate", sql(_kernel_sql(), "scored"))
 def _(spark, sf):
     return stencil.kernel_candidate(scored(spark, sf), _K3).select("y", "x", *dd("num", "den", "candidate"))
 
@@ -297,11 +308,17 @@ def _(spark, sf):
     return e.select("vec_id", "pos", X.dead_zone(F.col("v"), F.lit(-0.1), F.lit(0.05)).cast("double").alias("v"))
 
 
-@query("band_combiner")
+def _zone(v: str) -> str:
+    return f"(CASE WHEN {v} < -0.05::FLOAT THEN {v} - -0.05::FLOAT WHEN {v} > 0.05::FLOAT THEN {v} - 0.05::FLOAT ELSE 0.0::FLOAT END)"
+
+
+@query("band_combiner", f"SELECT vec_id, p::INT AS pos, (e[4 * p + 1] + {_zone('(e[4 * p + 2] - e[4 * p + 1])')} * 1.0::FLOAT + {_zone('(e[4 * p + 3] - e[4 * p + 2])')} * 0.5::FLOAT + {_zone('(e[4 * p + 4] - e[4 * p + 3])')} * 0.25::FLOAT)::DOUBLE AS v FROM (SELECT vec_id, embedding AS e, unnest(range(0, 16)) AS p FROM embeddings)")
 def _(spark, sf):
-    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", *[F.element_at("embedding", i + 1).alias(n) for i, n in enumerate("abcs")])
+    """Every four components of a vector stand for three averages and a source."""
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("pos"))
+    e = e.select("vec_id", "pos", *[F.element_at("embedding", F.col("pos") * 4 + i + 1).alias(n) for i, n in enumerate("abcs")])
     lim = [(F.lit(-0.05), F.lit(0.05))] * 3
-    return e.select("vec_id", X.combine_bands(*[F.col(c) for c in "abcs"], lim, (1.0, 0.5, 0.25)).cast("double").alias("v"))
+    return e.select("vec_id", "pos", X.combine_bands(*[F.col(c) for c in "abcs"], lim, (1.0, 0.5, 0.25)).cast("double").alias("v"))
 
 
 # random sequence and writer
@@ -327,35 +344,54 @@ def _(spark, sf):
     return R.stages(px(spark, sf))["starts"]
 
 
+@query("writer_rows_from_seed", sql(f"SELECT y, x, {ds('vr', 'vg', 'vb')}, draws, state::INT AS state FROM written, ends", "written", "ends"))
+def _(spark, sf):
+    return R.stages(px(spark, sf), hidden=False)["values"].select("y", "x", *dd("vr", "vg", "vb"), "draws", "state")
+
+
 @query("writer_rows")
 def _(spark, sf):
     return R.stages(px(spark, sf))["values"].select("y", "x", *dd("vr", "vg", "vb"), "draws", "state")
 
 
+@query("replay_counters_from_seed", sql("SELECT 'main' AS frame_id, count(*) AS pixels, sum(attempted::INT)::BIGINT AS attempted_pixels, sum(written::INT)::BIGINT AS written_pixels, sum(changed::INT)::BIGINT AS changed_pixels FROM output", "output"))
+def _(spark, sf):
+    return writer.counters(R.repair(px(spark, sf), hidden=False))
+
+
 @query("replay_counters")
 def _(spark, sf):
     return writer.counters(R.repair(px(spark, sf)))
 
 
+@query("repair_image_from_seed", sql("SELECT 'main' AS frame_id, y, x, r, g, b, attempted, written, changed FROM output", "output"))
+def _(spark, sf):
+    return R.repair(px(spark, sf), hidden=False)
+
+
 @query("repair_image")
 def _(spark, sf):
     return R.repair(px(spark, sf))
 
 
+@query("repair_content_hash_from_seed", sql("SELECT 'main' AS frame_id, sha256(unhex(string_agg(printf('%02x%02x', r & 255, r >> 8) || printf('%02x%02x', g & 255, g >> 8) || printf('%02x%02x', b & 255, b >> 8), '' ORDER BY y, x))) AS sha256 FROM output", "output"))
+def _(spark, sf):
+    return frames.content_hash(R.repair(px(spark, sf), hidden=False))
+
+
 @query("repair_content_hash")
 def _(spark, sf):
     return frames.content_hash(R.repair(px(spark, sf)))
 
 
-@query("engine_parity", "SELECT 0::BIGINT AS differing, 0::BIGINT AS missing")
+@query("engine_parity", sql("SELECT y, x, kr, kg, kb, kr AS jr, kg AS jg, kb AS jb FROM combined", "combined"))
 def _(spark, sf):
-    """Both engines' candidates, compared in full."""
+    """Both engines' candidates side by side, from a full join."""
     s = scored(spark, sf)
     e = analysis.eligible(analysis.decision(s))
     a, b = stencil.reconstruction(s, e), banded.reconstruction(s, e)
     both = a.select("frame_id", "y", "x", "kr", "kg", "kb").join(b.select("frame_id", "y", "x", *[F.col(f"k{c}").alias(f"j{c}") for c in "rgb"]), ["frame_id", "y", "x"], "full")
-    off = ~(F.col("kr").eqNullSafe(F.col("jr")) & F.col("kg").eqNullSafe(F.col("jg")) & F.col("kb").eqNullSafe(F.col("jb")))
-    return both.agg(F.coalesce(F.sum(off.cast("long")), F.lit(0)).alias("differing"), F.coalesce(F.sum((F.col("kr").isNull() | F.col("jr").isNull()).cast("long")), F.lit(0)).alias("missing"))
+    return both.drop("frame_id")
 
 
 @query("render_route", sql("SELECT y, x, (CASE WHEN NOT (ir < 1000) AND score < 1 THEN sr ELSE wr END)::DOUBLE AS v FROM scored", "scored"))
@@ -371,9 +407,10 @@ def _(spark, sf):
     return b.select("block", "start_row", "valid_rows", "width", F.size("samples").cast("long").alias("n"), F.aggregate("samples", F.lit(0).cast("long"), lambda s, v: s + v["r"]).alias("sum_r"))
 
 
-@query("block_assemble_gaps", sql("SELECT (y // 8)::INT AS block, 0 AS gap FROM px GROUP BY y // 8", "px"))
+@query("block_assemble_gaps", sql("SELECT block, start_row - coalesce(lag(last_row + 1) OVER (ORDER BY start_row), 0) AS gap FROM (SELECT (y // 8)::INT AS block, min(y) AS start_row, max(y) AS last_row FROM px WHERE y // 8 % 3 <> 1 GROUP BY y // 8)", "px"))
 def _(spark, sf):
-    return frames.block_gaps(frames.split_blocks(px(spark, sf), 8)).select("block", "gap")
+    """Every third block is missing, so there are gaps to find."""
+    return frames.block_gaps(frames.split_blocks(px(spark, sf).where("y div 8 % 3 <> 1"), 8)).select("block", "gap")
 
 
 @query("block_assemble", sql("SELECT y, x, r, g, b, ir FROM px", "px"))
@@ -398,7 +435,8 @@ def _(spark, sf):
 
 @query("chessboard_distance", sql("SELECT y, x, distance FROM dist", "dist"))
 def _(spark, sf):
-    return regions.distances(mask(spark, sf)).select("y", "x", "distance")
+    m = mask(spark, sf)
+    return regions.distances(regions.labels(m), regions.frame_sizes(m)).select("y", "x", "distance")
 
 
 @query("dilate_mask", sql("SELECT m.y, m.x, EXISTS (SELECT 1 FROM mask n WHERE n.mask AND abs(n.y - m.y) <= 4 AND abs(n.x - m.x) <= 4) AS dilated FROM mask m", "mask"))
@@ -476,9 +514,13 @@ def _(spark, sf):
 
 
 # compositing
+#: The made-up frame holds far more to synthesise than a film scan, so its budget is larger than the profile's.
+LIMIT = "0.9"
+
+
 def _composite(spark, sf):
-    r = regions.route(mask(spark, sf))
-    return r, composite.composite(px(spark, sf).select("frame_id", "y", "x", "r", "g", "b"), r["synth"], r["final"])
+    r = regions.route(mask(spark, sf), LIMIT)
+    return r, composite.composite(px(spark, sf).select("frame_id", "y", "x", "r", "g", "b"), r["synth"], r["final"], census=r["census"])
 
 
 _CTX = "final, n_context, lo_r, hi_r, lo_g, hi_g, lo_b, hi_b"
@@ -519,10 +561,73 @@ def _(spark, sf):
     return _composite(spark, sf)[1]["alpha"].groupBy("final").agg(F.min("alpha").alias("alpha_min"), F.max("alpha").alias("alpha_max"))
 
 
-@query("outside_mask_identity", "SELECT 0::BIGINT AS n")
+@query("outside_mask_identity", sql("SELECT p.y, p.x, p.r, p.g, p.b, 0::BIGINT AS n FROM px p JOIN synth s USING (y, x) WHERE NOT s.synth", "px", "synth"))
 def _(spark, sf):
+    """Pixels outside the mask as the composite has them, and how many outside_changes() finds."""
     r, c = _composite(spark, sf)
-    return composite.outside_changes(px(spark, sf).select("frame_id", "y", "x", "r", "g", "b"), c["image"], r["synth"]).agg(F.count("*").alias("n"))
+    n = composite.outside_changes(px(spark, sf).select("frame_id", "y", "x", "r", "g", "b"), c["image"], r["synth"]).agg(F.count("*").alias("n"))
+    return c["image"].join(r["synth"].where("NOT synth").select("frame_id", "y", "x"), ["frame_id", "y", "x"]).select("y", "x", "r", "g", "b").crossJoin(F.broadcast(n))  # n is one row
+
+
+def _caps_sql(n: str, cases: list[tuple[str, bool]]) -> str:
+    return f"SELECT * FROM (VALUES {', '.join(f"('{c}', {str(v).lower()})" for c, v in cases)}) t({n}, refused)"
+
+
+def _refused(f, *kinds) -> bool:
+    try:
+        f()
+    except kinds or (ValueError,):
+        return True
+    return False
+
+
+@query("composite_caps", _caps_sql("cap", [("as it is", False), ("components", True), ("crop", True), ("all crops", True), ("budget", True), ("two regions", True)]))
+def _(spark, sf):
+    """What preflight refuses: caps under what the frame needs, a budget that is exceeded, a component of two regions."""
+    from unittest.mock import patch
+
+    r = regions.route(mask(spark, sf), LIMIT)
+    final, box = r["final"], frames.cut(composite.boxes(r["final"], regions.frame_sizes(px(spark, sf))))
+    run = lambda name=None, final=final, census=r["census"]: _refused(lambda: composite.preflight(final, box, census)) if name is None else _with(patch, name, lambda: composite.preflight(final, box, census))
+    rows = [("as it is", run()), ("components", run("MAX_COMPONENTS")), ("crop", run("MAX_CROP_PIXELS")), ("all crops", run("MAX_TOTAL_CROP"))]
+    rows.append(("budget", run(census=regions.within_budget(r["census"].drop("within"), "0.0001"))))
+    apart = final.where("y % 7 <> 3").withColumn("final", F.lit(1))
+    return spark.createDataFrame([*rows, ("two regions", run(final=apart))], "cap string, refused boolean")
+
+
+def _with(patch, name, f) -> bool:
+    with patch.object(P, name, 0):
+        return _refused(f)
+
+
+@query("tiled_feather", sql("SELECT y, x, part AS final, least(3, min(d))::INT AS distance FROM (SELECT s.y, s.x, s.part, greatest(abs(s.y - m.y), abs(s.x - m.x)) AS d FROM (SELECT y, x, ((y // 9) * 1000 + x // 9)::INT AS part FROM synth WHERE synth) s JOIN synth m ON abs(s.y - m.y) <= 3 AND abs(s.x - m.x) <= 3 WHERE NOT m.synth OR (m.y // 9) * 1000 + m.x // 9 <> s.part UNION ALL SELECT y, x, ((y // 9) * 1000 + x // 9)::INT, 3 FROM synth WHERE synth) GROUP BY ALL", "synth"))
+def _(spark, sf):
+    """Regions cut on a grid of nine, so that components touch along seams: each is feathered on its own."""
+    r = regions.route(mask(spark, sf))
+    final = r["synth"].where("synth").select("frame_id", "y", "x", F.expr("cast((y div 9) * 1000 + x div 9 AS int)").alias("final"))
+    return composite.feather(final, regions.frame_sizes(r["synth"])).select("y", "x", "final", "distance")
+
+
+@query("batch_fill", sql("SELECT y, x, " + ", ".join(f"m8_{c}::INT AS g8_{c}" for c in "rgb") + " FROM final JOIN fills USING (final)", "final", "fills"))
+def _(spark, sf):
+    """The batch hook with the stand-in fill, and its archive of crops unpacked again."""
+    import numpy as np
+
+    c = _composite(spark, sf)[1]
+    rows = composite.crop_rows(c["crop"], c["ranges"])
+    made = composite.batch_filled(rows, lambda crops: [composite.mean_fill(rgb, own) for rgb, own in crops])
+    box = c["boxes"].select("frame_id", "final", "cy0", "cx0")
+
+    def unpack(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for r in pdf.itertuples():
+                y, x = np.nonzero(np.frombuffer(r.own, np.uint8).reshape(r.height, r.width))
+                m = np.frombuffer(r.made8, np.uint8).reshape(r.height, r.width, 3)[y, x].astype(np.int32)
+                yield pd.DataFrame({"y": (y + r.cy0).astype(np.int32), "x": (x + r.cx0).astype(np.int32), "g8_r": m[:, 0], "g8_g": m[:, 1], "g8_b": m[:, 2]})
+
+    return made.join(box, ["frame_id", "final"]).mapInPandas(unpack, "y int, x int, g8_r int, g8_g int, g8_b int")
 
 
 # integrity
@@ -537,7 +642,7 @@ def _(spark, sf):
     return frames.tree_hash(px(spark, sf)).select("sha256")
 
 
-@query("frame_content_hash")
+@query("frame_content_hash", sql("SELECT 'main' AS frame_id, sha256(unhex(string_agg(printf('%02x%02x', r & 255, r >> 8) || printf('%02x%02x', g & 255, g >> 8) || printf('%02x%02x', b & 255, b >> 8) || printf('%02x%02x', ir & 255, ir >> 8), '' ORDER BY y, x))) AS sha256 FROM px", "px"))
 def _(spark, sf):
     return frames.content_hash(px(spark, sf), frames.SAMPLES)
 
@@ -550,6 +655,112 @@ def _(spark, sf):
     return both.agg(F.count("*").alias("pixels"), F.sum((~F.col("r").eqNullSafe(F.col("r2"))).cast("long")).alias("differing"))
 
 
+@query("artefact_measure", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'png' WHEN doc_id % 5 = 1 THEN 'npy' ELSE 'opaque' END AS kind, strlen(text) + CASE WHEN doc_id % 5 = 0 THEN 8 WHEN doc_id % 5 = 1 THEN 6 ELSE 0 END AS n_bytes, sha256(CASE WHEN doc_id % 5 = 0 THEN from_hex('89504E470D0A1A0A') WHEN doc_id % 5 = 1 THEN from_hex('934E554D5059') ELSE ''::BLOB END || encode(text)) AS sha256 FROM documents")
+def _(spark, sf):
+    """Texts as files, two fifths of them with the first bytes of an image or an array."""
+    head = F.when(F.col("doc_id") % 5 == 0, F.unhex(F.lit("89504E470D0A1A0A"))).when(F.col("doc_id") % 5 == 1, F.unhex(F.lit("934E554D5059"))).otherwise(F.lit(b""))
+    d = spark.read.parquet(f"{sf}/documents.parquet").where("text IS NOT NULL").select("doc_id", F.concat(head, F.col("text").cast("binary")).alias("content"))
+    files = d.select(F.col("doc_id").cast("string").alias("path"), F.length("content").cast("long").alias("length"), "content")
+    return integrity.measured(files).select(F.col("path").cast("long").alias("doc_id"), "kind", "n_bytes", "sha256")
+
+
+@query("artefact_roles_once", "SELECT coalesce(c_custkey, o_custkey) AS role, coalesce(n, 0) AS n FROM customer FULL JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey WHERE c_custkey IS NULL OR n IS NULL OR n <> 1")
+def _(spark, sf):
+    roles = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("role"))
+    return integrity.roles_once(spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_custkey").alias("role")), roles)
+
+
+@query("mask_png", sql("SELECT y, x, mask FROM mask", "mask"))
+def _(spark, sf):
+    """The mask as images, and these read again."""
+    return integrity.mask_pixels(integrity.mask_images(mask(spark, sf))).select("y", "x", "mask")
+
+
+@query("stage_record_decode", "SELECT vec_id, embedding[1]::DOUBLE AS p1, embedding[2]::DOUBLE AS p2, embedding[3]::DOUBLE AS p3, embedding[4]::DOUBLE AS p4 FROM embeddings")
+def _(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", *[F.element_at("embedding", i).alias(f"p{i}") for i in range(1, 5)])
+    return integrity.decode_records(integrity.encode_records(e).select("vec_id", "record")).select("vec_id", *dd("p1", "p2", "p3", "p4"))
+
+
+def _planes(spark, sf):
+    return scored(spark, sf).select("frame_id", "y", "x", "score", "aux", X.at_floor(F.col("score")).alias("at_floor"))
+
+
+def _bound(spark, sf) -> dict:
+    return integrity.binding(frames.content_hash(px(spark, sf), frames.SAMPLES).first()["sha256"], None, "banded", {"limit": LIMIT})
+
+
+@query("cache_round_trip", sql(f"SELECT y, x, {ds('score', 'aux')}, score = {FLOOR} AS at_floor FROM scored", "scored"))
+def _(spark, sf):
+    """Planes from a cache that was staged, verified and published, and verified again when read."""
+    at, bound = frames.shared_folder(spark, "cache"), _bound(spark, sf)
+    anchor = integrity.save_cache(_planes(spark, sf), at, bound)
+    return integrity.load_cache(spark, at, bound, anchor).select("y", "x", *dd("score", "aux"), "at_floor")
+
+
+@query("cache_tamper", _caps_sql("tampered", [("nothing", False), ("anchor", True), ("binding", True), ("place taken", True), ("sample", True), ("row missing", True), ("at_floor", True)]))
+def _(spark, sf):
+    at, bound = frames.shared_folder(spark, "cache"), _bound(spark, sf)
+    planes = _planes(spark, sf)
+    anchor = integrity.save_cache(planes, at, bound)
+    load = lambda path=at, bound=bound, anchor=anchor: _refused(lambda: integrity.load_cache(spark, path, bound, anchor))
+    rows = [("nothing", load()), ("anchor", load(anchor="0" * 64)), ("binding", load(bound=bound | {"backend": "expr"}))]
+    rows.append(("place taken", _refused(lambda: integrity.save_cache(planes, at, bound), FileExistsError)))
+    for name, changed in (("sample", planes.withColumn("aux", F.when((F.col("y") == 3) & (F.col("x") == 5), F.col("aux") + 1).otherwise(F.col("aux")))), ("row missing", planes.where("y <> 4"))):
+        other = frames.shared_folder(spark, "cache")
+        spark.read.parquet(f"{at}/frames").write.parquet(f"{other}/frames")
+        integrity.write_bytes(spark, f"{other}/manifest.json", integrity.read_bytes(spark, f"{at}/manifest.json"))
+        changed.write.parquet(f"{other}/planes")
+        rows.append((name, load(other)))
+    wrong = planes.withColumn("at_floor", F.col("at_floor") != (F.col("y") == 3))
+    rows.append(("at_floor", _refused(lambda: integrity.save_cache(wrong, frames.shared_folder(spark, "cache"), bound))))
+    return spark.createDataFrame(rows, "tampered string, refused boolean")
+
+
+def _receipt(spark, sf):
+    at, bound = frames.shared_folder(spark, "cache"), _bound(spark, sf)
+    anchor = integrity.save_cache(_planes(spark, sf), at, bound)
+    planes = integrity.load_cache(spark, at, bound, anchor)
+    source = px(spark, sf).select("frame_id", "y", "x", "r", "g", "b")
+    r = regions.route(planes.select("frame_id", "y", "x", F.col("at_floor").alias("mask")), LIMIT)
+    image = frames.cut(composite.composite(source, r["synth"], r["final"], census=r["census"])["image"])
+    sha = {"source": frames.content_hash(source).first()["sha256"], "composite": frames.content_hash(image).first()["sha256"], "cache_manifest": anchor}
+    png = integrity.mask_images(r["synth"].select("frame_id", "y", "x", F.col("synth").alias("mask"))).select(F.sha2("png", 256)).first()[0]
+    artefacts = [{"role": k, "sha256": v, "n_bytes": 1} for k, v in (sha | {"mask": png}).items()]
+    receipt = receipts.build("main", source, r, image, anchor, artefacts, LIMIT, receipts.provenance("events", "made up", "a test frame"))
+    return receipt, source, planes, image, anchor
+
+
+@query("receipt_document", sql(_CENSUS, "synth", "disposed"))
+def _(spark, sf):
+    """The counts of a receipt, read from its canonical bytes."""
+    import json
+
+    c = json.loads(_receipt(spark, sf)[0])["census"]
+    return spark.createDataFrame([tuple(c[n] for n in receipts.COUNTS)], ", ".join(f"{n} bigint" for n in receipts.COUNTS))
+
+
+_CHECKS = ("canonical", "semantics", "cache_manifest", "source", "routing", "composite", "composite_replay", "outside_mask")
+
+
+@query("receipt_replay", "SELECT * FROM (VALUES " + ", ".join(f"('{case}', '{c}', {str(not (case == 'image' and c in ('composite', 'composite_replay', 'outside_mask') or case == 'anchor' and c == 'cache_manifest')).lower()})" for case in ("as it is", "image", "anchor") for c in _CHECKS) + """) t("case", "check", ok)""")
+def _(spark, sf):
+    """A receipt replayed on what it was made of, on an image with one changed sample outside the mask, and with another cache."""
+    receipt, source, planes, image, anchor = _receipt(spark, sf)
+    other = image.withColumn("r", F.when((F.col("y") == 0) & (F.col("x") == 0), F.col("r") + 1).otherwise(F.col("r")))
+    cases = {"as it is": (image, anchor), "image": (other, anchor), "anchor": (image, "0" * 64)}
+    parts = [receipts.replay(spark, receipt, source, planes, i, a).select(F.lit(name).alias("case"), "check", "ok") for name, (i, a) in cases.items()]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query("progress_metrics", sql("SELECT count(*) AS completed, sum(eligible::INT)::BIGINT AS attempted FROM eligible", "eligible"))
+def _(spark, sf):
+    """Counts that were observed while a table was written and published."""
+    n = {"completed": F.count("*"), "attempted": F.sum(F.col("eligible").cast("long"))}
+    got = integrity.run_observed(decided(spark, sf).select("frame_id", "y", "x", "eligible"), frames.shared_folder(spark, "observed"), n)
+    return spark.createDataFrame([(got["completed"], got["attempted"])], "completed bigint, attempted bigint")
+
+
 @query("ordered_row_stream", sql(f"SELECT y, count(*) FILTER (ir <= {dbl(P.IR_THRESHOLD)}) AS n_low, sum(ir)::BIGINT AS sum_ir FROM px GROUP BY y", "px"))
 def _(spark, sf):
     """Row blocks go through the stateful stream, and what it gives comes back as a table."""

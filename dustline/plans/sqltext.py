@@ -241,8 +241,53 @@ STEPS: dict[str, tuple[str, str]] = {
     "prew": ("pre", f"SELECT *, {resp('r')} AS wr, {resp('ir')} AS wi, y // 8 AS ty, x // 8 AS tx, 2 * ((y % 8) // 4) + (x % 8) // 4 AS q FROM pre"),
     "ptile": ("prew", f"SELECT ty, tx, count(*) AS n_valid, sum(ir)::BIGINT AS raw FROM prew WHERE ir > {THR} GROUP BY ty, tx"),
     "psum": ("prew", f"SELECT {fold('ir::DOUBLE * ir::DOUBLE * wr::DOUBLE', 'ty, tx, y, x')} AS sr, {fold('ir::DOUBLE * ir::DOUBLE * wi::DOUBLE', 'ty, tx, y, x')} AS si, {fold('ir::DOUBLE * ir::DOUBLE', 'ty, tx, y, x')} AS s2, count(*) AS n FROM prew WHERE ir > {THR}"),
+    # the writer's walk: one item for each channel of a valid site, in order; a state goes from item to item
+    "sites": ("combined work", "SELECT y, x, row_number() OVER (ORDER BY y, x) AS site, wr, wg, wb, kr, kg, kb, isfinite(kr) AND isfinite(kg) AND isfinite(kb) AND kr > 0 AND kg > 0 AND kb > 0 AS valid FROM combined JOIN work USING (y, x)"),
+    "items": (
+        "sites",
+        "SELECT *, row_number() OVER (ORDER BY site, c) AS i, (4.0::DOUBLE / ((hi - lo) * (hi - lo))) * 1.0::DOUBLE AS scale, lo < v AND v < hi AS inside FROM (SELECT *, k::FLOAT::DOUBLE AS v, "
+        + f"({resp('655')})::DOUBLE AS lo, ({resp('64879')})::DOUBLE AS hi FROM (" + " UNION ALL ".join(f"SELECT site, {i} AS c, k{c} AS k, w{c}::DOUBLE AS o, {dbl(P.DITHER_SCALES[i])} AS d FROM sites WHERE valid" for i, c in enumerate("rgb")) + "))",
+    ),
+    "shaped": ("items", "SELECT *, ((hi - v) * (v - lo)) * scale AS env, (d * v)::FLOAT::DOUBLE AS span FROM items"),
+    "walked": (
+        "shaped",
+        f"SELECT 0::BIGINT AS i, {P.LCG_SEED}::BIGINT AS state, 0::BIGINT AS draws, 0.0::DOUBLE AS value UNION ALL SELECT i, CASE WHEN NOT inside THEN s0 WHEN k + d1 <= o THEN s1 ELSE s2 END, "
+        "draws + CASE WHEN NOT inside THEN 0 WHEN k + d1 <= o THEN 1 ELSE 2 END, CASE WHEN k + d1 <= o THEN o WHEN inside AND lo < v + m2 AND v + m2 < hi THEN k + m2 ELSE k END FROM (SELECT *, CASE WHEN inside AND lo < v + m1 AND v + m1 < hi THEN m1 ELSE 0.0::DOUBLE END AS d1 FROM ("
+        f"SELECT *, env * (((s1 + 1)::DOUBLE * {dbl(P.LCG_UNIT)} - 0.5::DOUBLE) * span) AS m1, env * (((s2 + 1)::DOUBLE * {dbl(P.LCG_UNIT)} - 0.5::DOUBLE) * span) AS m2 FROM ("
+        f"SELECT t.*, w.state AS s0, w.draws AS draws, (w.state * 125 + 1) & {P.LCG_MASK} AS s1, (((w.state * 125 + 1) & {P.LCG_MASK}) * 125 + 1) & {P.LCG_MASK} AS s2 FROM walked w JOIN shaped t ON t.i = w.i + 1)))",
+    ),
+    "ends": ("walked", "SELECT arg_max(state, i) AS state, max(draws) AS draws FROM walked"),
+    "written": (
+        "sites items walked",
+        "SELECT s.y, s.x, " + ", ".join(f"coalesce(max(value) FILTER (c = {i}), any_value(w{c}::DOUBLE))::FLOAT AS v{c}" for i, c in enumerate("rgb")) + " FROM sites s LEFT JOIN (items JOIN walked USING (i)) t ON s.site = t.site GROUP BY s.y, s.x",
+    ),
+    "output": (
+        "work written",
+        "SELECT *, attempted AND (coalesce(dr, false) OR coalesce(dg, false) OR coalesce(db, false)) AS written, r <> nr OR g <> ng OR b <> nb AS changed FROM (SELECT w.y, w.x, v.vr IS NOT NULL AS attempted, "
+        + ", ".join(f"{inverse(index(f'coalesce(v.v{c}, w.w{c})'))} AS {c}, {inverse(index(f'w.w{c}'))} AS n{c}, v.v{c} <> w.w{c} AS d{c}" for c in "rgb") + " FROM work w LEFT JOIN written v USING (y, x))",
+    ),
+    # the prepass regression: narrowed after every tile, so it goes from tile to tile
+    "pquad": ("prew", f"SELECT ty, tx, q, (sum(wr::DOUBLE) * 0.0625::DOUBLE)::FLOAT AS mr, (sum(wi::DOUBLE) * 0.0625::DOUBLE)::FLOAT AS mi FROM prew WHERE ir > {THR} GROUP BY ty, tx, q"),
+    "pwhole": ("pquad ptile", f"SELECT ty, tx, ({fold('mr::DOUBLE', 'q')} * 0.25::DOUBLE)::FLOAT AS ar, ({fold('mi::DOUBLE', 'q')} * 0.25::DOUBLE)::FLOAT AS ai, any_value(raw)::FLOAT::DOUBLE AS raw FROM pquad JOIN ptile USING (ty, tx) WHERE n_valid = 64 GROUP BY ty, tx"),
+    "pterm": (
+        "pquad pwhole",
+        f"SELECT ty, tx, q, dr * dr * raw * raw AS w, ratio, dr <> 0 AND ratio >= {dbl(P.PREPASS_RATIO[0])} AND ratio <= {dbl(P.PREPASS_RATIO[1])} AS use FROM (SELECT *, di / dr AS ratio FROM ("
+        "SELECT ty, tx, q, raw, (mr - ar)::DOUBLE AS dr, (mi - ai)::DOUBLE AS di FROM pquad JOIN pwhole USING (ty, tx)))",
+    ),
+    "pstep": ("pterm", "SELECT row_number() OVER (ORDER BY ty, tx) AS n, list(struct_pack(w := w, r := ratio) ORDER BY q) FILTER (use) AS terms FROM pterm GROUP BY ty, tx"),
+    "pfold": (
+        "pstep",
+        "SELECT 0::BIGINT AS n, 0.0::FLOAT AS den, 0.0::FLOAT AS num UNION ALL SELECT s.n, "
+        "list_reduce(list_prepend(f.den::DOUBLE, coalesce(list_transform(s.terms, lambda t: t.w), [])), lambda a, b: a + b)::FLOAT, "
+        "list_reduce(list_prepend(f.num::DOUBLE, coalesce(list_transform(s.terms, lambda t: t.r * t.w), [])), lambda a, b: a + b)::FLOAT FROM pfold f JOIN pstep s ON s.n = f.n + 1",
+    ),
+    "prec": (
+        "pfold psum",
+        f"SELECT n AS full_tiles, ratio::FLOAT AS alpha, (ratio * 1.5::DOUBLE)::FLOAT AS alpha_scaled, den, num, mv, mi, sr, si, s2 FROM (SELECT n, den, num, CASE WHEN den = 0 THEN {dbl(P.PREPASS_ZERO_ALPHA)} ELSE num::DOUBLE / den::DOUBLE END AS ratio FROM pfold ORDER BY n DESC LIMIT 1), "
+        "(SELECT sr, si, s2, (sr / s2)::FLOAT AS mv, (si / s2)::FLOAT AS mi FROM psum)",
+    ),
 }
-RECURSIVE = {"cum", "states", "reach", "freach"}
+RECURSIVE = {"cum", "states", "reach", "freach", "walked", "pfold"}
 
 
 def sql(last: str, *needs: str) -> str:

@@ -178,8 +178,19 @@ def tree_hash(px: DataFrame, channels: tuple[str, ...] = ("r", "g", "b")) -> Dat
 def source_manifest(files: DataFrame, last: str | None = None) -> DataFrame:
     """SHA-256 over `path:sha256` lines in the order of paths; `last`, if named, comes last."""
     each = files.select(F.coalesce(F.col("path") == F.lit(last), F.lit(False)).alias("z"), "path", F.sha2("content", 256).alias("sha"))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("z", "path", "sha"))), lambda s: F.concat(s["path"], F.lit(":"), s["sha"], F.lit("\n")))
-    return each.agg(F.count("*").alias("n_files"), F.sha2(F.array_join(lines, ""), 256).alias("sha256"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        n, digest = 0, hashlib.sha256()
+        for batch in batches:
+            for path, sha in zip(batch.column("path").to_pylist(), batch.column("sha").to_pylist()):
+                digest.update(f"{path}:{sha}\n".encode())
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([digest.hexdigest()])], names=["n_files", "sha256"])
+
+    # contents are hashed where they are; a digest over ordered lines needs one task, which streams them and holds none
+    return each.repartition(1).sortWithinPartitions("z", "path").mapInArrow(run, "n_files bigint, sha256 string")
 
 
 def canonical_json(document: dict) -> bytes:
@@ -205,12 +216,14 @@ def read_manifest(text: str, keys: set[str]) -> dict:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir); only where a session names none, as in tests, a local one."""
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir); only a session on one machine may name none and gets a local one."""
     import tempfile
     import uuid
 
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="dustline-")
         spark.conf.set("spark.checkpoint.dir", at)
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
