@@ -3,7 +3,7 @@
 A line's quote level is the number of > marks that begin it (after at most three blanks; a blank may follow each mark; lines inside closed
 ``` fences have level 0). A passage is a run of lines of one level above 0; lines such as "On Monday Ann wrote:" right before a deeper
 level belong to the quotation. A message's own text is the rest. Passages and own texts are normalised (case folded, white space joined)
-and hashed whole; own texts also by paragraph, line and sentence, passages also by sentence. A hash's original is the first message of the
+and hashed whole; own texts also by paragraph, line and sentence, passages also by sentence, or by line where they are one sentence. A hash's original is the first message of the
 conversation with it among its own text; it must come before the message that quotes. A passage is linked to the original of its whole
 hash, else to the message with the most words of its sentences if those are at least half of its words (ties: the later message).
 
@@ -112,13 +112,15 @@ def units(own: str) -> set[int]:
 
 
 def quoted(passages: list[tuple[int, str]]) -> list[dict]:
-    """Rows of hashes of the passages: each whole, and each of its sentences where it has several."""
+    """Rows of hashes of the passages: each whole, and each of its sentences where it has several, else each of its lines where it has several."""
     out = []
     for no, (level, text) in enumerate(passages):
         whole = normal(text)
         of = len(whole.split())
         out.append({"no": no, "level": level, "words": of, "whole": True, "hash": digest(whole), "of": of})
         parts = sentences(text)
+        if len(parts) == 1:
+            parts = [x for x in map(normal, text.split("\n")) if x]
         if len(parts) > 1:
             out += [{"no": no, "level": level, "words": len(s.split()), "whole": False, "hash": digest(s), "of": of} for s in parts]
     return out
