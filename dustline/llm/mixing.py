@@ -8,8 +8,8 @@ target / (2 k + 1); a source gets its whole stream once or twice and then the fi
 Only seats near a source's ideal share compete (by a bound that holds for every divisor method of this kind), so a
 shard ranks a few rows for each source, not one for each block.
 
-Rows: a null or empty text has size 0 and takes 0; a null source is a source, the last in order; a null doc_id is dealt like an empty one;
-repeated rows are documents of their own; an empty table gives an empty one. Columns that clash with the added ones are replaced.
+Rows: a null or empty text has size 0 and takes 0; a null source is a source, the last in order; a null doc_id is dealt by a hash of the text;
+rows that share a doc_id are in order of size, then of a hash of the text; repeated rows are documents of their own; a very long text counts whole and may fill blocks alone; an empty table gives an empty one. Columns that clash with the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -17,10 +17,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dustline.llm.common import WORD
+from dustline.llm.common import WORD, table
 
 #: Words in a block, and words after which another shard begins: so many keep a shard's streams small for one task.
 BLOCK, SHARD_WORDS = 16, 250_000
+#: Sources up to which their table (some tens of bytes each) is broadcast.
+MOST_SOURCES = 20_000
 ADDED = ("size", "source_size", "target", "taken")
 
 
@@ -58,16 +60,22 @@ def mix(
     seed: str = "mix",
     block: int = BLOCK,
     shard_words: int = SHARD_WORDS,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """df with size, source_size, target and taken (words that the mix takes of the row, repeats counted)."""
-    names = [c for c in df.columns if c not in ADDED]
+    """df (or the columns named by keep) with size, source_size, target and taken (words that the mix takes of the row, repeats counted)."""
+    names = [c for c in (df.columns if keep is None else keep) if c not in ADDED]
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
-    sized = df.select(*names).withColumns({"size": size, "__key": key, "__order": F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))})
-    src = targets(df.select("source", size.alias("size")), weights, share, most)
-    src = src.withColumns({"__key": key, "__shards": F.greatest(F.lit(1), F.ceil(F.col("total") / shard_words))}).drop("source", "total")
+    tie = F.md5(F.coalesce("text", F.lit("")))
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), tie))))
+    made = {"size": size, "__key": key, "__order": order, "__tie": tie}
+    # words are counted once; what follows reads this table
+    sized = table(df.withColumns(made).select(*names, *made))
+    src = targets(sized.select(F.expr("substring(nullif(__key, ''), 2)").alias("source"), "size"), weights, share, most)
+    src = table(src.withColumns({"__key": key, "__shards": F.greatest(F.lit(1), F.ceil(F.col("total") / shard_words))}).drop("source", "total"))
     number = F.conv(F.substring("__order", 1, 8), 16, 10).cast("long")
-    rows = sized.join(src, "__key").withColumn("__shard", number % F.col("__shards"))
+    few = src.limit(MOST_SOURCES + 1).count() <= MOST_SOURCES  # a row for each source; beyond that the join shuffles, and adaptive execution splits large sources
+    rows = sized.join(F.broadcast(src) if few else src, "__key").withColumn("__shard", number % F.col("__shards"))
 
     # each shard's seats
     cells = rows.groupBy("__shard", "__key").agg(F.sum("size").alias("__c"), F.first("source_size").alias("__s"), F.first("target").alias("__t"))
@@ -84,7 +92,7 @@ def mix(
     quota = quota.select("__shard", "__key", "__c", F.least(F.col("__seats") * block, F.col("__c") * most).alias("__words"))
 
     # the streams
-    stream = Window.partitionBy("__shard", "__key").orderBy("__order", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    stream = Window.partitionBy("__shard", "__key").orderBy("__order", "size", "__tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("__end", F.sum("size").over(stream)).join(quota, ["__shard", "__key"], "left")
     part = F.greatest(F.lit(0), F.least(F.col("__end"), F.expr("__words % __c")) - (F.col("__end") - F.col("size")))
     taken = F.coalesce(F.expr("__words div __c") * F.col("size") + part, F.lit(0)).cast("long")
@@ -104,14 +112,14 @@ def mixed_documents(df: DataFrame, **how) -> DataFrame:
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(docs, keep=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
 #: Written apart from the plan above: every seat of every shard competes, from the first on.
 ORACLE_SQL = rf"""
 WITH docs AS (
   SELECT doc_id, coalesce(source, '') AS src, source IS NULL AS nosrc, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size,
-         md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS ord
+         md5('mix:' || coalesce(doc_id::VARCHAR, 'text ' || md5(coalesce(text, '')))) AS ord, md5(coalesce(text, '')) AS tie
   FROM documents),
 src AS (SELECT src, nosrc, sum(size)::BIGINT AS source_size FROM docs GROUP BY ALL),
 weighed AS (SELECT *, CASE (row_number() OVER (ORDER BY nosrc, src) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w,
@@ -136,7 +144,7 @@ size_of AS (SELECT shard, floor(sum(ideal) / {BLOCK} + 0.000001::DOUBLE) AS n FR
 won AS (SELECT shard, src, nosrc, count(*) AS seats FROM ranked JOIN size_of USING (shard) WHERE place <= n GROUP BY ALL),
 quota AS (SELECT c.shard, c.src, c.nosrc, c.c, least(coalesce(w.seats, 0) * {BLOCK}, 2 * c.c)::BIGINT AS words
   FROM cells c LEFT JOIN won w USING (shard, src, nosrc)),
-streams AS (SELECT *, (sum(size) OVER (PARTITION BY shard, src, nosrc ORDER BY ord, size ROWS UNBOUNDED PRECEDING))::BIGINT AS stop FROM placed)
+streams AS (SELECT *, (sum(size) OVER (PARTITION BY shard, src, nosrc ORDER BY ord, size, tie ROWS UNBOUNDED PRECEDING))::BIGINT AS stop FROM placed)
 SELECT s.doc_id, s.size::BIGINT AS size, s.source_size, s.target,
        coalesce(q.words // q.c * s.size + greatest(0, least(s.stop, q.words % q.c) - (s.stop - s.size)), 0)::BIGINT AS taken
 FROM streams s LEFT JOIN quota q USING (shard, src, nosrc)
