@@ -10,13 +10,12 @@
    forest is kept, which connects what they all connect, so room in lists decides no component.
    Lists that are full of links show no other group: where there are such, components are dealt into cells anew, with lists that
    leave out a vector's own component, and those neighbours are introduced too, until no components are tied any more.
-4. Links make components. Within a component all classes are compared, in blocks that only count, so n_links is whole
-   also for lists that stayed saturated, and no list bounds it.
-
-audit() measures the recall of links for a bounded set of vectors against all rows.
+4. The threshold edges that are found are the links: they make components, and n_links counts them. A list that holds `room` links may have left some out; classes of
+   components with such a list are compared in blocks that only count, so that no list bounds n_links. Vectors without a saturated list in their component meet no such block.
+5. audit() measures the recall of links for a bounded set of vectors against all rows. Under AIM the whole is done again with more and other deals.
 
 Rows: vectors that are null, empty or zero or hold null or non-finite components link with nothing; so do vectors of different lengths;
-rows without id are returned, linked with nothing; an id that occurs twice is one vector (the smaller one), returned as often as it came;
+rows without id are returned, linked with nothing; of equally near entries of a list the smaller id comes first; other columns aren't read; an id that occurs twice is one vector (the smaller one), returned as often as it came;
 an empty table gives an empty one.
 """
 
@@ -34,6 +33,8 @@ from dustline.llm.common import components, drop_table, table
 from dustline.llm.vectors import matrix, usable
 
 LIST, MOST, CELL, BLOCK = 16, 64, 512, 1024
+#: Recall that the audit asks for, and vectors that it takes.
+AIM, AUDITED = 0.95, 128
 #: How far single precision may be off: pairs so near the threshold are decided in double.
 CLOSE = 1e-4
 
@@ -84,12 +85,12 @@ def ties(cos: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate((np.array(i, np.int64), x[open_])), np.concatenate((np.array(j, np.int64), y[open_]))
 
 
-def first_lists(units: DataFrame, n: int, threshold: float, floor: float, room: int, seed: int = 17, group: DataFrame | None = None) -> DataFrame:
+def first_lists(units: DataFrame, n: int, threshold: float, floor: float, room: int, seed: int = 17, group: DataFrame | None = None, more: int = 1) -> DataFrame:
     """(a, b, c, tie) directed pairs with cosine c >= floor found in cells; at most `room` for each vector and cell, and the ties of each cell.
 
     group (id, component, large): only pairs across components count, of which one at least is large.
     """
-    planes, turns = deals(n, threshold)
+    planes, turns = deals(n, threshold, 0.002 / more, 48 * more)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,14 +221,23 @@ def links_within(units: DataFrame, group: DataFrame, threshold: float) -> DataFr
     return counted.groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def near_duplicates(df: DataFrame, threshold: float = 0.9, floor: float = 0.6, room: int = LIST, most: int = MOST, rounds: int = 5, settled: float = 0.001, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """vec_id, n_links, component_id and kept for every row."""
+def near_duplicates(df: DataFrame, threshold: float = 0.9, aim: float = AIM, key: str = "vec_id", vector: str = "embedding", **how) -> DataFrame:
+    """vec_id, n_links, component_id and kept for every row, once the audit has found enough of the true links (or has asked for more deals twice)."""
+    for more in (1, 4, 16):
+        out = table(descended(df, threshold, key=key, vector=vector, more=more, **how))
+        if more == 16 or audit(df, out, threshold, key=key, vector=vector) >= aim:
+            return out
+        drop_table(out)
+
+
+def descended(df: DataFrame, threshold: float = 0.9, floor: float = 0.6, room: int = LIST, most: int = MOST, rounds: int = 5, settled: float = 0.001, key: str = "vec_id", vector: str = "embedding", more: int = 1) -> DataFrame:
+    """One run of steps 1 to 4, with cells that miss a pair at the threshold 0.002 / more times."""
     units, member = classes(df, key, vector)
     n = units.count()
     keyed = df.select(F.col(key).cast("long").alias("vec_id"))
     if not n:
         return keyed.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    cells = first_lists(units, n, threshold, floor, room)
+    cells = first_lists(units, n, threshold, floor, room, 17 * more, more=more)
     tied = lambda pairs: pairs.where("tie").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     seen = table(tied(cells).distinct())
     lists = table(trimmed(cells.drop("tie"), threshold, room, most))
@@ -264,23 +274,28 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, floor: float = 0.6, r
         if not sized.where("large").limit(1).count():
             break
         turn += 1
-        cells = first_lists(units, n, threshold, floor, room, 17 + turn, sized)
+        cells = first_lists(units, n, threshold, floor, room, 17 * more + turn, sized, more)
         outer = trimmed(cells.drop("tie"), threshold, room, room)
         new = introduced(lists.union(outer), units, threshold, floor, wide, turn)
         pairs = tied(cells) if new is None else tied(cells).union(tied(new))
         for side in ("a", "b"):
             pairs = pairs.join(group.select(F.col("id").alias(side), F.col("component").alias(f"of_{side}")), side, "left")
         pairs = pairs.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b").distinct()
-        more = exact(pairs)
+        new_links = exact(pairs)
         drop_table(cells)
         if new is not None:
             drop_table(new)
-        if not more.limit(1).count():
+        if not new_links.limit(1).count():
             break
-        near = table(near.union(more))
+        near = table(near.union(new_links))
         group = table(components(near))
-    inside = table(links_within(units, group, threshold))
+    full = lists.where(F.col("c") >= threshold - CLOSE).groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= room)
+    dense = table(group.join(group.join(full, group["id"] == full["a"], "left_semi").select("component").distinct(), "component", "left_semi"))
+    ends = near.distinct().select(F.col("a").alias("id"), F.col("b").alias("other")).union(near.distinct().select(F.col("b").alias("id"), F.col("a").alias("other")))
+    sparse = ends.join(dense.select("id"), "id", "left_anti").join(units.select(F.col("id").alias("other"), "m"), "other").groupBy("id").agg(F.sum("m").alias("n"))
+    inside = table(sparse.select("id", "n").union(links_within(units, dense, threshold).select("id", "n")))
     drop_table(near)
+    drop_table(dense)
     drop_table(lists)
     each = member.join(units.select("id", "m"), "id").join(inside, "id", "left").join(group, "id", "left")
     each = each.select(F.col("vec"), (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
@@ -289,21 +304,29 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, floor: float = 0.6, r
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("vec_id") == own, F.lit(True)).alias("kept"))
 
 
-def audit(df: DataFrame, result: DataFrame, threshold: float = 0.9, sample: int = 256, key: str = "vec_id", vector: str = "embedding") -> float:
+def audit(df: DataFrame, result: DataFrame, threshold: float = 0.9, sample: int = AUDITED, key: str = "vec_id", vector: str = "embedding") -> float:
     """The share of true links of `sample` vectors (by a hash) that the result counts."""
     rows = df.where(usable(df, vector) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    got = rows.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()
-    sent = rows.sparkSession.sparkContext.broadcast((got["id"].to_numpy(), unit(np.array(got["v"].tolist()))))
+    got = rows.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
+    by: dict[int, tuple[list, list]] = {}  # vectors of unlike lengths don't meet
+    for r in got:
+        ids, vectors = by.setdefault(len(r["v"]), ([], []))
+        ids.append(r["id"])
+        vectors.append(r["v"])
+    sent = rows.sparkSession.sparkContext.broadcast({d: (np.array(ids), unit(np.array(v))) for d, (ids, v) in by.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = sent.value
         for batch in batches:
-            if batch.num_rows:
-                hits = (q @ unit(matrix(batch.column("v"))).T >= threshold) & (ids[:, None] != np.asarray(batch.column("id")))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hits.sum(axis=1))], names=["vec_id", "n"])
+            lengths = np.diff(np.asarray(batch.column("v").offsets)) if batch.num_rows else np.zeros(0, int)
+            for d in np.unique(lengths):
+                if d in sent.value:
+                    ids, q = sent.value[d]
+                    own = batch.take(pa.array(np.flatnonzero(lengths == d)))
+                    hits = (q @ unit(matrix(own.column("v"))).T >= threshold) & (ids[:, None] != np.asarray(own.column("id")))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hits.sum(axis=1))], names=["vec_id", "n"])
 
     true = rows.mapInArrow(run, "vec_id bigint, n bigint").groupBy("vec_id").agg(F.sum("n").alias("n"))
-    s = true.join(result, "vec_id").agg(F.sum("n"), F.sum(F.least("n", "n_links"))).first()
+    s = true.join(result.select("vec_id", "n_links").distinct(), "vec_id").agg(F.sum("n"), F.sum(F.least("n", "n_links"))).first()
     return s[1] / s[0] if s[0] else 1.0
 
 

@@ -83,6 +83,15 @@ def test_mix_meets_targets_and_caps(spark):
         assert abs(sum(r["taken"] for r in part) - part[0]["target"]) <= 2 * mixing.BLOCK
 
 
+def test_mix_of_rows_without_ids_and_with_clashing_columns(spark):
+    rng = np.random.default_rng(17)
+    rows = [(None, words(rng, 30), "s0", 1, 2) for _ in range(50)] + [(7, words(rng, 30), "s1", 1, 2) for _ in range(50)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, size bigint, target bigint")
+    once, again = (sorted(map(tuple, mixing.mix(df, shard_words=200).select("doc_id", "text", "taken").collect()), key=repr) for _ in range(2))
+    assert once == again and len(once) == 100
+    assert sorted(mixing.mixed_documents(df).columns) == sorted(df.columns)
+
+
 def jaccard(a, b):
     return len(a & b) / len(a | b) if a | b else 0.0
 
@@ -311,3 +320,23 @@ def test_vectors_of_very_many_lengths_all_find_their_like(spark):
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     got = {r["vec_id"]: r for r in nn_descent.near_duplicates(df).collect()}
     assert all(got[i]["n_links"] == 1 and got[i]["component_id"] == i - i % 2 for i, _ in rows)
+
+
+def test_descent_over_many_cells_finds_links_that_few_deals_miss(spark, monkeypatch):
+    rng = np.random.default_rng(23)
+    centre = rng.standard_normal((1300, 24))
+    x = np.concatenate([centre + 0.16 * rng.standard_normal(centre.shape) for _ in range(4)])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    monkeypatch.setattr(nn_descent, "deals", lambda n, threshold, missed=0, most=0: (5, 1))
+    shares = []
+    for rounds in (0, 5):
+        got = {r["vec_id"]: r["n_links"] for r in nn_descent.descended(df, rounds=rounds).collect()}
+        assert all(got[i] <= near[i].sum() for i in got)  # no link under the threshold
+        shares.append(sum(got.values()) / near.sum())
+    assert shares[0] < 0.95 and shares[1] > shares[0] + 0.01
+    monkeypatch.undo()
+    full = nn_descent.near_duplicates(df)
+    assert sum(r["n_links"] for r in full.collect()) / near.sum() >= 0.99 and nn_descent.audit(df, full) >= 0.95
