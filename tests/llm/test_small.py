@@ -324,13 +324,13 @@ def test_vectors_of_very_many_lengths_all_find_their_like(spark):
 
 def test_descent_over_many_cells_finds_links_that_few_deals_miss(spark, monkeypatch):
     rng = np.random.default_rng(23)
-    centre = rng.standard_normal((1300, 24))
-    x = np.concatenate([centre + 0.16 * rng.standard_normal(centre.shape) for _ in range(4)])
+    centre = rng.standard_normal((650, 24))
+    x = np.concatenate([centre + 0.16 * rng.standard_normal(centre.shape) for _ in range(8)])
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = u @ u.T >= 0.9
     np.fill_diagonal(near, False)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
-    monkeypatch.setattr(nn_descent, "deals", lambda n, threshold, missed=0, most=0: (5, 1))
+    monkeypatch.setattr(nn_descent, "deals", lambda n, threshold, missed=0, most=0: (5, 2))
     shares = []
     for rounds in (0, 5):
         got = {r["vec_id"]: r["n_links"] for r in nn_descent.descended(df, rounds=rounds).collect()}
