@@ -84,6 +84,7 @@ def collect_garbage(spark: SparkSession, seconds: float = 3.0) -> None:
     """Shuffle files stay on executors' disks until the driver's JVM collects what refers to them; operators of many steps ask for that now and then."""
     if time.monotonic() - _collected[0] > seconds:
         spark._jvm.System.gc()
+        tidy()
         _collected[0] = time.monotonic()
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dustline.llm.common import map_arrow, pieces
+from dustline.llm.common import map_arrow, pieces, tidy
 
 PER_LANGUAGE, WINDOWS, WINDOW, HIDDEN = 400, 4, 128, 8
 LETTER = re.compile(r"[^\W\d_]")
@@ -206,6 +206,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, hidden: int = HIDDEN,
     network = Network(languages, hidden)
     labels = rows["lang"].map({lang: i for i, lang in enumerate(languages)}).to_numpy()
     network.learn(np.frombuffer(b"".join(rows["w"]), np.uint8).reshape(-1, WINDOW), labels, steps)
+    del rows
+    tidy()
     return network.narrowed()
 
 

@@ -128,18 +128,18 @@ def fine_sketches(texts: DataFrame) -> DataFrame:
 
 
 def across(rest: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of ids in one bucket but different components whose larger sketches allow the similarity.
+    """(a, b) of ids in one bucket but different components whose larger sketches allow the similarity; a pair leaves the smallest open key that both have.
 
     rest: (key, id, component, main, members, strays). Buckets of up to BLOCK members are packed together. In larger ones blocks of strays (members outside
     the main component) meet blocks of all members, so rows grow with strays times members over BLOCK.
     """
     ids = rest.select("id").distinct()
-    fine = fine_sketches(texts.join(ids, "id", "left_semi"))
+    fine = fine_sketches(texts.join(ids, "id", "left_semi")).join(rest.groupBy("id").agg(F.array_sort(F.collect_list("key")).alias("keys")), "id")
     limit = most_bits(percent / 100, FINE, FINE_BITS)
     few = F.col("members") <= BLOCK
     packs = max(1, rest.count() // (2 * BLOCK))
     rows = rest.withColumn("large", ~few).join(fine, "id")
-    cols = ["large", "pack", "i", "j", "side", "key", "id", "component", "n", "fine"]
+    cols = ["large", "pack", "i", "j", "side", "key", "id", "component", "n", "fine", "keys"]
     deal = lambda by, n: F.pmod(F.xxhash64("id", F.lit(by)), F.ceil(F.col(n) / BLOCK)).cast("int")
     every = lambda n: F.explode(F.expr(f"sequence(0, cast(ceil({n} / {BLOCK}) AS int) - 1)"))
     small = rows.where(few).withColumns({"pack": F.pmod(F.xxhash64("key"), F.lit(packs)), "i": F.lit(0), "j": F.lit(0), "side": F.lit(0)}).select(cols)
@@ -150,6 +150,8 @@ def across(rest: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     def compare(block: pa.Table) -> pa.Table:
         key, ids, comp, n, side = (block.column(c).to_numpy() for c in ("key", "id", "component", "n", "side"))
         bits = np.frombuffer(b"".join(block.column("fine").to_pylist()), "<u8").reshape(len(ids), -1)
+        keys = block.column("keys").combine_chunks()
+        at, flat = np.asarray(keys.offsets), np.asarray(keys.flatten())
         a, b = [], []
         order = np.argsort(key, kind="stable")
         for m in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
@@ -163,8 +165,12 @@ def across(rest: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 if not len(js):
                     continue
                 js = js[np.bitwise_count(bits[js] ^ bits[i]).sum(axis=1) <= limit]
-                a += np.minimum(ids[i], ids[js]).tolist()
-                b += np.maximum(ids[i], ids[js]).tolist()
+                mine = flat[at[i] : at[i + 1]]
+                for j in js:
+                    theirs = flat[at[j] : at[j + 1]]
+                    if mine[np.isin(mine, theirs)][0] == key[i]:
+                        a.append(min(ids[i], ids[j]))
+                        b.append(max(ids[i], ids[j]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return small.union(left).union(right).groupBy("large", "pack", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
