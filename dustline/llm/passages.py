@@ -33,6 +33,8 @@ from dustline.llm import near_dup
 from dustline.llm.common import U, WORD, Words, drop_table, map_arrow, pieces, table
 
 LEAST, PERCENT, BLOCK, SAMPLES = 50, 75, 20, 64
+#: Documents and passages up to which those to cut are broadcast (some tens of bytes each), so that texts stay where they are.
+FEW_SPANS = 400_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -256,6 +258,9 @@ def dedup(docs: DataFrame, least: int = LEAST, percent: int = PERCENT) -> DataFr
     """docs without what repeats: text (and n_chars, if there) change, documents of which nothing is left go, all else stays as it is."""
     spans = repeated_passages(docs, least, percent).where("NOT kept")
     each = table(spans.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__t")).agg(F.collect_set(F.struct("first_word", "n_words")).alias("__spans")))
+    found, words = each.agg(F.count("*"), F.sum(F.size("__spans"))).first()
+    if (found or 0) + (words or 0) <= FEW_SPANS:
+        each = F.broadcast(each)
     both = docs.join(each, (docs["doc_id"] == each["__id"]) & (F.xxhash64(docs["text"]) == each["__t"]), "left").drop("__id", "__t")
 
     @F.pandas_udf(T.StringType())
