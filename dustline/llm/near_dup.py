@@ -11,10 +11,10 @@ components of links are groups, named by their smallest doc_id.
    threshold (one in 300,000 pairs at the threshold) goes; this is a condition of a join, in the JVM.
 3. Each set meets the smallest set that shares a bucket with it; pairs that the sketches allow are confirmed on the full sets. In buckets that then hold
    several components, each member meets one of another component, and again with another one (stars, so a bucket of n gives n pairs, not n squared).
-4. Members of buckets that still hold several components get a larger odd sketch (1024 samples, 4096 bits). Those outside a bucket's largest component
-   are compared with all its members in blocks of bounded size; pairs of one component never meet, and those over the same 4.5 deviations go. What leaves a
-   block, each pair once, is confirmed. So every pair of a bucket is either confirmed, refuted by the full sets or a sketch, or already in one component; no
-   bucket is capped.
+4. Members of buckets that still hold several components get a larger odd sketch (1024 samples, 4096 bits) and their whole sets. Those outside a bucket's
+   largest component are compared with all its members in blocks of bounded size; pairs of one component never meet, those over the same 4.5 deviations go,
+   and the others are confirmed on the full sets within the block. Only links that join what was apart leave a block, so fewer than its members. So
+   every pair of a bucket is either confirmed, refuted by the full sets or a sketch, or already in one component; no bucket is capped.
 
 Rows: null, empty and blank texts have an empty set, are linked with nothing and stay; rows without doc_id are returned with no component and stay;
 rows that share a doc_id are one document with the links of each; long texts count whole; an empty table gives an empty one. Ties don't matter:
@@ -102,15 +102,15 @@ def similarity_of_bits(count: int, samples: int = SAMPLES, bits: int = 64 * LONG
 
 
 SKETCH = [f"o{i}" for i in range(LONGS)]
-#: Samples and bits of the larger sketch, and members that are compared at a time.
-FINE, FINE_BITS, BLOCK = 1024, 4096, 1024
+#: Samples and bits of the larger sketch; members, and shingles of their sets together, that are compared at a time.
+FINE, FINE_BITS, BLOCK, BLOCK_SHINGLES = 1024, 4096, 1024, 1 << 20
 _fine = np.random.default_rng(60607)
 _FINE_XOR = _fine.integers(0, 2**32, FINE, dtype=np.uint32)
 _FINE_MUL = _fine.integers(0, 2**32, FINE, dtype=np.uint32) | np.uint32(1)
 
 
 def fine_sketches(texts: DataFrame) -> DataFrame:
-    """(id, n, fine): the larger odd sketch of each text."""
+    """(id, n, fine, shingles): the larger odd sketch and the whole sorted set of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,58 +122,74 @@ def fine_sketches(texts: DataFrame) -> DataFrame:
                     some = at + np.flatnonzero(n[at : at + 64])
                     if len(some):
                         fine[some] = odd_sketch(minhash(np.concatenate([s[i] for i in some]), n[some], _FINE_XOR, _FINE_MUL, 128), FINE_BITS // 64)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int32()), pa.array([x.tobytes() for x in fine], pa.binary())], names=["id", "n", "fine"])
+                cols = [part.column("id"), pa.array(n, pa.int32()), *(pa.array([x.tobytes() for x in c], pa.binary()) for c in (fine, s))]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "n", "fine", "shingles"])
 
-    return map_arrow(texts.select("id", "text"), run, "id bigint, n int, fine binary")
+    return map_arrow(texts.select("id", "text"), run, "id bigint, n int, fine binary, shingles binary")
+
+
+def joining(block: pa.Table, percent: int) -> pa.Table:
+    """(a, b) of links in a block that join components, of which none is implied by the others.
+
+    Rows: large, side, key, id, component, n, fine, shingles, keys. A pair is compared under the smallest open key that both have.
+    """
+    limit, two = most_bits(percent / 100, FINE, FINE_BITS), block.column("large")[0].as_py()
+    key, ids, root, n, side = (block.column(c).to_numpy() for c in ("key", "id", "component", "n", "side"))
+    root = root.copy()
+    bits = np.frombuffer(b"".join(block.column("fine").to_pylist()), "<u8").reshape(len(ids), -1)
+    sets = [np.frombuffer(x.as_buffer(), "<u8") for x in block.column("shingles")]
+    keys = [frozenset(k) for k in block.column("keys").to_pylist()]
+    a, b = [], []
+    order = np.argsort(key, kind="stable")
+    for m in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+        x, y = (m[side[m] == 0], m[side[m] == 1]) if two else (m, m)
+        for i in x:
+            js = y[root[y] != root[i]]
+            if not two:
+                js = js[ids[js] > ids[i]]
+            js = js[np.minimum(n[js], n[i]).astype(np.int64) * 100 >= np.maximum(n[js], n[i]).astype(np.int64) * percent]
+            if not len(js):
+                continue
+            for j in js[np.bitwise_count(bits[js] ^ bits[i]).sum(axis=1) <= limit]:
+                if root[i] == root[j] or min(keys[i] & keys[j]) != key[i]:
+                    continue
+                both, either = jaccard_parts(sets[i], sets[j])
+                if either and 100 * both >= percent * either:
+                    a.append(min(ids[i], ids[j]))
+                    b.append(max(ids[i], ids[j]))
+                    root[root == root[j]] = root[i]
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def across(rest: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of ids in one bucket but different components whose larger sketches allow the similarity; a pair leaves the smallest open key that both have.
+    """(a, b) of linked ids in one bucket but different components, confirmed on the full sets: enough of them to join what belongs together. A table.
 
-    rest: (key, id, component, main, members, strays). Buckets of up to BLOCK members are packed together. In larger ones blocks of strays (members outside
-    the main component) meet blocks of all members, so rows grow with strays times members over BLOCK.
+    rest: (key, id, component, main, members, strays). Buckets of up to BLOCK members and BLOCK_SHINGLES shingles are packed together. In larger ones blocks
+    of strays (members outside the main component) meet blocks of all members, so rows grow with strays times members over BLOCK.
     """
-    ids = rest.select("id").distinct()
-    fine = fine_sketches(texts.join(ids, "id", "left_semi")).join(rest.groupBy("id").agg(F.array_sort(F.collect_list("key")).alias("keys")), "id")
-    limit = most_bits(percent / 100, FINE, FINE_BITS)
-    few = F.col("members") <= BLOCK
-    packs = max(1, rest.count() // (2 * BLOCK))
-    rows = rest.withColumn("large", ~few).join(fine, "id")
-    cols = ["large", "pack", "i", "j", "side", "key", "id", "component", "n", "fine", "keys"]
-    deal = lambda by, n: F.pmod(F.xxhash64("id", F.lit(by)), F.ceil(F.col(n) / BLOCK)).cast("int")
-    every = lambda n: F.explode(F.expr(f"sequence(0, cast(ceil({n} / {BLOCK}) AS int) - 1)"))
+    open_keys = rest.groupBy("id").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    fine = table(fine_sketches(texts.join(rest.select("id").distinct(), "id", "left_semi")).join(open_keys, "id"))
+    sized = rest.join(fine.groupBy("id").agg(F.sum("n").alias("words")), "id")
+    stray = F.col("component") != F.col("main")
+    weight = sized.groupBy("key").agg(F.sum("words").alias("words"), F.sum(F.when(stray, F.col("words")).otherwise(0)).alias("stray_words"))
+    parts = lambda n, words: F.ceil(F.greatest(F.col(n) / BLOCK, F.col(words) / BLOCK_SHINGLES, F.lit(1))).cast("int")
+    weighed = table(rest.join(weight, "key").select("key", "id", "component", "main", parts("members", "words").alias("all"), parts("strays", "stray_words").alias("apart"), "words"))
+    few = F.col("all") == 1
+    rows_, shingles = weighed.where(few).groupBy("key").agg(F.count("*").alias("m"), F.first("words").alias("w")).agg(F.sum("m"), F.sum("w")).first()
+    packs = 1 + max((rows_ or 0) // (2 * BLOCK), (shingles or 0) // BLOCK_SHINGLES)
+    rows = weighed.withColumn("large", ~few).join(fine, "id")
+    cols = ["large", "pack", "i", "j", "side", "key", "id", "component", "n", "fine", "shingles", "keys"]
+    deal = lambda by, n: F.pmod(F.xxhash64("id", F.lit(by)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
     small = rows.where(few).withColumns({"pack": F.pmod(F.xxhash64("key"), F.lit(packs)), "i": F.lit(0), "j": F.lit(0), "side": F.lit(0)}).select(cols)
     crowd = rows.where(~few).withColumn("pack", F.col("key"))
-    left = crowd.where("component <> main").withColumns({"i": deal(0, "strays"), "j": every("members"), "side": F.lit(0)}).select(cols)
-    right = crowd.withColumns({"j": deal(1, "members"), "i": every("strays"), "side": F.lit(1)}).select(cols)
-
-    def compare(block: pa.Table) -> pa.Table:
-        key, ids, comp, n, side = (block.column(c).to_numpy() for c in ("key", "id", "component", "n", "side"))
-        bits = np.frombuffer(b"".join(block.column("fine").to_pylist()), "<u8").reshape(len(ids), -1)
-        keys = block.column("keys").combine_chunks()
-        at, flat = np.asarray(keys.offsets), np.asarray(keys.flatten())
-        a, b = [], []
-        order = np.argsort(key, kind="stable")
-        for m in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
-            two = block.column("large")[0].as_py()
-            x, y = (m[side[m] == 0], m[side[m] == 1]) if two else (m, m)
-            for i in x:
-                js = y[comp[y] != comp[i]]
-                if not two:
-                    js = js[ids[js] > ids[i]]
-                js = js[np.minimum(n[js], n[i]).astype(np.int64) * 100 >= np.maximum(n[js], n[i]).astype(np.int64) * percent]
-                if not len(js):
-                    continue
-                js = js[np.bitwise_count(bits[js] ^ bits[i]).sum(axis=1) <= limit]
-                mine = flat[at[i] : at[i + 1]]
-                for j in js:
-                    theirs = flat[at[j] : at[j + 1]]
-                    if mine[np.isin(mine, theirs)][0] == key[i]:
-                        a.append(min(ids[i], ids[j]))
-                        b.append(max(ids[i], ids[j]))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return small.union(left).union(right).groupBy("large", "pack", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
+    left = crowd.where(stray).withColumns({"i": deal(0, "apart"), "j": every("all"), "side": F.lit(0)}).select(cols)
+    right = crowd.withColumns({"j": deal(1, "all"), "i": every("apart"), "side": F.lit(1)}).select(cols)
+    blocks = small.union(left).union(right).groupBy("large", "pack", "i", "j")
+    out = table(blocks.applyInArrow(lambda block: joining(block, percent), "a bigint, b bigint").distinct())
+    for t in (fine, weighed):
+        drop_table(t)
+    return out
 
 
 SIGNED = "n int, h1 bigint, h2 bigint, keys array<bigint>, " + ", ".join(f"{c} bigint" for c in SKETCH)
@@ -309,7 +325,7 @@ def grouped(own: DataFrame, texts_of: Callable[[DataFrame], DataFrame], percent:
         if not rest.limit(1).count():
             break
         if turn == stars:
-            group = merged(group, confirmed(across(rest, texts, percent), texts, percent))
+            group = merged(group, across(rest, texts, percent))
             break
         order = F.xxhash64(F.col("id"), F.lit(turn))
         hubs = rest.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "component")).alias("hub")).select("key", F.col("hub.id").alias("hub"), F.col("hub.component").alias("of"))

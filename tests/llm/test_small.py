@@ -1,5 +1,6 @@
 """Small fixtures: nulls, empty and long texts, ties, repeated rows, empty tables, and brute-force versions."""
 
+import functools
 import hashlib
 
 import numpy as np
@@ -96,7 +97,12 @@ def jaccard(a, b):
     return len(a & b) / len(a | b) if a | b else 0.0
 
 
-def test_near_duplicates_equal_brute_force(spark):
+@pytest.mark.parametrize("block", [None, (3, 1 << 20), (1024, 250)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
+    if block:  # no stars, so blocks of few members or few shingles do what is left
+        monkeypatch.setattr(near_dup, "BLOCK", block[0])
+        monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", block[1])
+        monkeypatch.setattr(near_dup, "grouped", functools.partial(near_dup.grouped, stars=0))
     rng = np.random.default_rng(9)
     rows, n = [], 0
     for g in range(12):
