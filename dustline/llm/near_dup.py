@@ -164,20 +164,18 @@ def joining(block: pa.Table, percent: int) -> pa.Table:
 def across(rest: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """(a, b) of linked ids in one bucket but different components, confirmed on the full sets: enough of them to join what belongs together. A table.
 
-    rest: (key, id, component, main, members, strays). Buckets of up to BLOCK members and BLOCK_SHINGLES shingles are packed together. In larger ones blocks
+    rest: (key, id, size, component, main, members, strays, shingles, stray_shingles). Buckets of up to BLOCK members and BLOCK_SHINGLES shingles are packed together. In larger ones blocks
     of strays (members outside the main component) meet blocks of all members, so rows grow with strays times members over BLOCK.
     """
     open_keys = rest.groupBy("id").agg(F.array_sort(F.collect_list("key")).alias("keys"))
     fine = table(fine_sketches(texts.join(rest.select("id").distinct(), "id", "left_semi")).join(open_keys, "id"))
-    sized = rest.join(fine.groupBy("id").agg(F.sum("n").alias("words")), "id")
     stray = F.col("component") != F.col("main")
-    weight = sized.groupBy("key").agg(F.sum("words").alias("words"), F.sum(F.when(stray, F.col("words")).otherwise(0)).alias("stray_words"))
     parts = lambda n, words: F.ceil(F.greatest(F.col(n) / BLOCK, F.col(words) / BLOCK_SHINGLES, F.lit(1))).cast("int")
-    weighed = table(rest.join(weight, "key").select("key", "id", "component", "main", parts("members", "words").alias("all"), parts("strays", "stray_words").alias("apart"), "words"))
+    dealt = rest.select("key", "id", "component", "main", "size", parts("members", "shingles").alias("all"), parts("strays", "stray_shingles").alias("apart"))
     few = F.col("all") == 1
-    rows_, shingles = weighed.where(few).groupBy("key").agg(F.count("*").alias("m"), F.first("words").alias("w")).agg(F.sum("m"), F.sum("w")).first()
-    packs = 1 + max((rows_ or 0) // (2 * BLOCK), (shingles or 0) // BLOCK_SHINGLES)
-    rows = weighed.withColumn("large", ~few).join(fine, "id")
+    members, shingles = dealt.where(few).agg(F.count("*"), F.sum("size")).first()
+    packs = 1 + max(members // (2 * BLOCK), (shingles or 0) // BLOCK_SHINGLES)
+    rows = dealt.drop("size").withColumn("large", ~few).join(fine, "id")
     cols = ["large", "pack", "i", "j", "side", "key", "id", "component", "n", "fine", "shingles", "keys"]
     deal = lambda by, n: F.pmod(F.xxhash64("id", F.lit(by)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
@@ -186,9 +184,8 @@ def across(rest: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     left = crowd.where(stray).withColumns({"i": deal(0, "apart"), "j": every("all"), "side": F.lit(0)}).select(cols)
     right = crowd.withColumns({"j": deal(1, "all"), "i": every("apart"), "side": F.lit(1)}).select(cols)
     blocks = small.union(left).union(right).groupBy("large", "pack", "i", "j")
-    out = table(blocks.applyInArrow(lambda block: joining(block, percent), "a bigint, b bigint").distinct())
-    for t in (fine, weighed):
-        drop_table(t)
+    out = table(blocks.applyInArrow(lambda block: joining(block, percent), "a bigint, b bigint"))
+    drop_table(fine)
     return out
 
 
@@ -282,7 +279,7 @@ def grouped(own: DataFrame, texts_of: Callable[[DataFrame], DataFrame], percent:
 
     own: (id, n, keys, sketch) of distinct sets. texts_of gives (id, text) for a table of ids.
     """
-    band = own.select("id", F.explode("keys").alias("key"))
+    band = own.select("id", F.col("n").alias("size"), F.explode("keys").alias("key"))
     full = band.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last")
     # sums are tables of their own before they are joined, so that adaptive execution can split a common key
     full = table(full.select("key", "hub"))
@@ -308,16 +305,16 @@ def grouped(own: DataFrame, texts_of: Callable[[DataFrame], DataFrame], percent:
 
     # a set's smallest hub first: groups of near copies come together by one pair for each member
     pairs = crowd.groupBy("id").agg(F.min("hub").alias("a")).where("a <> id").select("a", F.col("id").alias("b"))
-    group, rest = merged(None, linked(pairs)), crowd.select("key", "id")
+    group, rest = merged(None, linked(pairs)), crowd.select("key", "id", "size")
     for turn in range(stars + 1):
-        placed = table(rest.select("key", "id").distinct().join(group, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")))
+        placed = table(rest.groupBy("key", "id").agg(F.max("size").alias("size")).join(group, "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("component")))
         # a bucket's largest component needs no comparison within itself; a bucket of one component is done with
         who = [F.bit_xor(F.xxhash64(F.lit(i), "id")).alias(f"w{i}") for i in range(2)]
-        counts = placed.groupBy("key", "component").agg(F.count("*").alias("m"), *who)
-        open_ = counts.groupBy("key").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("members"), F.count("*").alias("kinds"), *[F.bit_xor(f"w{i}").alias(f"w{i}") for i in range(2)])
+        counts = placed.groupBy("key", "component").agg(F.count("*").alias("m"), F.sum("size").alias("s"), *who)
+        open_ = counts.groupBy("key").agg(F.max(F.struct("m", "component", "s")).alias("top"), F.sum("m").alias("members"), F.sum("s").alias("shingles"), F.count("*").alias("kinds"), *[F.bit_xor(f"w{i}").alias(f"w{i}") for i in range(2)])
         # near copies share many buckets with the same members: one of these is enough
-        same = open_.where("kinds > 1").groupBy("w0", "w1", "members").agg(F.min("key").alias("key"), F.first("top").alias("top"))
-        open_ = same.select("key", F.col("top.component").alias("main"), "members", (F.col("members") - F.col("top.m")).alias("strays"))
+        same = open_.where("kinds > 1").groupBy("w0", "w1", "members").agg(F.min("key").alias("key"), F.min_by("top", "key").alias("top"), F.min_by("shingles", "key").alias("shingles"))
+        open_ = same.select("key", F.col("top.component").alias("main"), "members", (F.col("members") - F.col("top.m")).alias("strays"), "shingles", (F.col("shingles") - F.col("top.s")).alias("stray_shingles"))
         open_, before = table(open_), rest
         rest = table(placed.join(open_, "key"))
         for t in (before, placed, open_):
