@@ -102,15 +102,15 @@ def similarity_of_bits(count: int, samples: int = SAMPLES, bits: int = 64 * LONG
 
 
 SKETCH = [f"o{i}" for i in range(LONGS)]
-#: Samples and bits of the larger sketch; members, and shingles of their sets together, that are compared at a time.
-FINE, FINE_BITS, BLOCK, BLOCK_SHINGLES = 1024, 4096, 1024, 1 << 20
+#: Samples and bits of the larger sketch; members, and shingles of their sets together, that are compared at a time; blocks of that size in a pack.
+FINE, FINE_BITS, BLOCK, BLOCK_SHINGLES, PACK = 1024, 4096, 1024, 1 << 20, 4
 _fine = np.random.default_rng(60607)
 _FINE_XOR = _fine.integers(0, 2**32, FINE, dtype=np.uint32)
 _FINE_MUL = _fine.integers(0, 2**32, FINE, dtype=np.uint32) | np.uint32(1)
 
 
 def fine_sketches(texts: DataFrame) -> DataFrame:
-    """(id, n, fine, shingles): the larger odd sketch and the whole sorted set of each text."""
+    """(id, keys, n, fine, shingles): the larger odd sketch and the whole sorted set of each text (id, keys, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,19 +122,22 @@ def fine_sketches(texts: DataFrame) -> DataFrame:
                     some = at + np.flatnonzero(n[at : at + 64])
                     if len(some):
                         fine[some] = odd_sketch(minhash(np.concatenate([s[i] for i in some]), n[some], _FINE_XOR, _FINE_MUL, 128), FINE_BITS // 64)
-                cols = [part.column("id"), pa.array(n, pa.int32()), *(pa.array([x.tobytes() for x in c], pa.binary()) for c in (fine, s))]
-                yield pa.RecordBatch.from_arrays(cols, names=["id", "n", "fine", "shingles"])
+                cols = [part.column("id"), part.column("keys"), pa.array(n, pa.int32()), *(pa.array([x.tobytes() for x in c], pa.binary()) for c in (fine, s))]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "keys", "n", "fine", "shingles"])
 
-    return map_arrow(texts.select("id", "text"), run, "id bigint, n int, fine binary, shingles binary")
+    return map_arrow(texts.select("id", "keys", "text"), run, "id bigint, keys array<bigint>, n int, fine binary, shingles binary")
 
 
 def joining(block: pa.Table, percent: int) -> pa.Table:
     """(a, b) of links in a block that join components, of which none is implied by the others.
 
-    Rows: large, side, key, id, component, n, fine, shingles, keys. A pair is compared under the smallest open key that both have.
+    Rows: large, side, here, id, component, n, fine, shingles, keys. A pair is compared under the smallest open key that both have (keys), where the
+    block holds it (here).
     """
     limit, two = most_bits(percent / 100, FINE, FINE_BITS), block.column("large")[0].as_py()
-    key, ids, root, n, side = (block.column(c).to_numpy() for c in ("key", "id", "component", "n", "side"))
+    ids, root, n, side = (block.column(c).to_numpy() for c in ("id", "component", "n", "side"))
+    here = block.column("here").combine_chunks()
+    key, row = here.flatten().to_numpy(), np.repeat(np.arange(len(ids)), here.value_lengths().to_numpy())
     root = root.copy()
     bits = np.frombuffer(b"".join(block.column("fine").to_pylist()), "<u8").reshape(len(ids), -1)
     sets = [np.frombuffer(x.as_buffer(), "<u8") for x in block.column("shingles")]
@@ -142,6 +145,7 @@ def joining(block: pa.Table, percent: int) -> pa.Table:
     a, b = [], []
     order = np.argsort(key, kind="stable")
     for m in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+        at, m = key[m[0]], row[m]
         x, y = (m[side[m] == 0], m[side[m] == 1]) if two else (m, m)
         for i in x:
             js = y[root[y] != root[i]]
@@ -151,7 +155,7 @@ def joining(block: pa.Table, percent: int) -> pa.Table:
             if not len(js):
                 continue
             for j in js[np.bitwise_count(bits[js] ^ bits[i]).sum(axis=1) <= limit]:
-                if root[i] == root[j] or min(keys[i] & keys[j]) != key[i]:
+                if root[i] == root[j] or min(keys[i] & keys[j]) != at:
                     continue
                 both, either = jaccard_parts(sets[i], sets[j])
                 if either and 100 * both >= percent * either:
@@ -164,28 +168,35 @@ def joining(block: pa.Table, percent: int) -> pa.Table:
 def across(rest: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """(a, b) of linked ids in one bucket but different components, confirmed on the full sets: enough of them to join what belongs together. A table.
 
-    rest: (key, id, size, component, main, members, strays, shingles, stray_shingles). Buckets of up to BLOCK members and BLOCK_SHINGLES shingles are packed together. In larger ones blocks
-    of strays (members outside the main component) meet blocks of all members, so rows grow with strays times members over BLOCK.
+    rest: (key, id, size, component, main, members, strays, shingles, stray_shingles). Buckets of up to BLOCK members and BLOCK_SHINGLES shingles are packed together,
+    those of one main component first, as they hold mostly the same members: a member goes to a pack once. A pack has about PACK times as many members. In larger
+    buckets blocks of strays (members outside the main component) meet blocks of all members, so rows grow with strays times members over BLOCK.
     """
     open_keys = rest.groupBy("id").agg(F.array_sort(F.collect_list("key")).alias("keys"))
-    fine = table(fine_sketches(texts.join(rest.select("id").distinct(), "id", "left_semi")).join(open_keys, "id"))
+    fine = table(fine_sketches(texts.join(open_keys, "id")))
     stray = F.col("component") != F.col("main")
-    parts = lambda n, words: F.ceil(F.greatest(F.col(n) / BLOCK, F.col(words) / BLOCK_SHINGLES, F.lit(1))).cast("int")
+    parts = lambda n, words, most=1: F.ceil(F.greatest(F.col(n) / (most * BLOCK), F.col(words) / (most * BLOCK_SHINGLES), F.lit(1))).cast("int")
     dealt = rest.select("key", "id", "component", "main", "size", parts("members", "shingles").alias("all"), parts("strays", "stray_shingles").alias("apart"))
-    few = F.col("all") == 1
-    members, shingles = dealt.where(few).agg(F.count("*"), F.sum("size")).first()
-    packs = 1 + max(members // (2 * BLOCK), (shingles or 0) // BLOCK_SHINGLES)
-    rows = dealt.drop("size").withColumn("large", ~few).join(fine, "id")
-    cols = ["large", "pack", "i", "j", "side", "key", "id", "component", "n", "fine", "shingles", "keys"]
+    few, crowd = dealt.where("all = 1"), dealt.where("all > 1").join(fine, "id").select("*", F.array("key").alias("here"), F.lit(True).alias("large"), F.col("key").alias("pack"))
+    # the members of one main component's buckets go to as many packs as they need; most need a part of one
+    mains = few.groupBy("main").agg(F.count("*").alias("members"), F.sum("size").alias("shingles")).select("main", "members", "shingles", parts("members", "shingles", PACK).alias("split"))
+    mains = table(mains)
+    members, shingles = mains.agg(F.sum("members"), F.sum("shingles")).first()
+    packs = 1 + max((members or 0) // BLOCK, (shingles or 0) // BLOCK_SHINGLES) // PACK
+    split = table(mains.where("split > 1").select("main", "split"))
+    drop_table(mains)
+    pack = F.xxhash64("main", F.pmod(F.xxhash64("key"), F.coalesce("split", F.lit(1))))
+    once = few.join(split, "main", "left").groupBy(F.pmod(pack, F.lit(packs)).alias("pack"), "id", "component").agg(F.collect_list("key").alias("here"))
+    cols = ["large", "pack", "i", "j", "side", "here", "id", "component", "n", "fine", "shingles", "keys"]
     deal = lambda by, n: F.pmod(F.xxhash64("id", F.lit(by)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
-    small = rows.where(few).withColumns({"pack": F.pmod(F.xxhash64("key"), F.lit(packs)), "i": F.lit(0), "j": F.lit(0), "side": F.lit(0)}).select(cols)
-    crowd = rows.where(~few).withColumn("pack", F.col("key"))
+    small = once.join(fine, "id").withColumns({"large": F.lit(False), "i": F.lit(0), "j": F.lit(0), "side": F.lit(0)}).select(cols)
     left = crowd.where(stray).withColumns({"i": deal(0, "apart"), "j": every("all"), "side": F.lit(0)}).select(cols)
     right = crowd.withColumns({"j": deal(1, "all"), "i": every("apart"), "side": F.lit(1)}).select(cols)
     blocks = small.union(left).union(right).groupBy("large", "pack", "i", "j")
     out = table(blocks.applyInArrow(lambda block: joining(block, percent), "a bigint, b bigint"))
-    drop_table(fine)
+    for t in (fine, split):
+        drop_table(t)
     return out
 
 
