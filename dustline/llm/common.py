@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,10 +81,27 @@ def table(df: DataFrame, partition_by: str | None = None) -> DataFrame:
 _collected = [0.0]
 
 
+def trim_driver(spark: SparkSession) -> None:
+    """Gives native memory that the driver's JVM has freed back to the system: compiling the code of many plans leaves over 100 MB, which the C library keeps.
+
+    It is the JVM's own diagnostic command; a JVM or C library without it (not HotSpot, not glibc) goes on as it is.
+    """
+    jvm = spark._jvm
+    try:
+        # the server's class isn't exported, so the method is that of its interface
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServerConnection").getMethods() if m.getName() == "invoke")
+        args = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JError:
+        pass
+
+
 def collect_garbage(spark: SparkSession, seconds: float = 3.0) -> None:
     """Shuffle files stay on executors' disks until the driver's JVM collects what refers to them; operators of many steps ask for that now and then."""
     if time.monotonic() - _collected[0] > seconds:
         spark._jvm.System.gc()
+        trim_driver(spark)
         tidy()
         _collected[0] = time.monotonic()
 

@@ -2,12 +2,13 @@
 
 import functools
 import hashlib
+import re
 
 import numpy as np
 import pytest
 
 from dustline.llm import byte_bpe, ivf_pq, jump_shards, language_id, mixing, near_dup, nn_descent, passages, toxicity
-from dustline.llm.common import Words, components
+from dustline.llm.common import Words, collect_garbage, components
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 words = lambda rng, n: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n))
@@ -346,3 +347,19 @@ def test_descent_over_many_cells_finds_links_that_few_deals_miss(spark, monkeypa
     monkeypatch.undo()
     full = nn_descent.near_duplicates(df)
     assert sum(r["n_links"] for r in full.collect()) / near.sum() >= 0.99 and nn_descent.audit(df, full) >= 0.95
+
+
+def test_the_driver_gives_freed_native_memory_back(spark):
+    jvm = spark._jvm
+    pid = jvm.java.lang.ProcessHandle.current().pid()
+    held = lambda: int(re.search(r"\nPss_Anon:\s+(\d+)", open(f"/proc/{pid}/smaps_rollup").read())[1]) / 1024
+    many = [jvm.java.util.zip.Deflater() for _ in range(1000)]  # each has over 128 KB outside the heap
+    for x in many[:10] + [y for i, y in enumerate(many) if i >= 10 and i % 50]:  # those that stay keep the C library from giving back the rest by itself
+        x.end()
+    for _ in range(2):
+        jvm.System.gc()
+    before = held()
+    collect_garbage(spark, 0)
+    assert before - held() > 60
+    for x in many:
+        x.end()
