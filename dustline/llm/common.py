@@ -8,8 +8,10 @@ import tempfile
 import time
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,8 +46,6 @@ def text_batches(spark: SparkSession) -> None:
 
 def tidy() -> None:
     """Gives the memory that a worker has freed back to the system: a worker outlives its task, and Spark reuses it for the next operator."""
-    import pyarrow as pa
-
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -67,11 +67,29 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator], Iterator], schema) -> Dat
     return df.mapInArrow(task, schema)
 
 
+@contextmanager
+def shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """What is run within deletes its shuffle files as soon as it is done, unless the session says otherwise. Nothing reads a table's plan again.
+
+    A shuffle has three files for each task, of a disk block at least, so many small ones in many partitions take more room than their rows do.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    own = spark.conf.get(name, None)
+    if own is None:
+        spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if own is None:
+            spark.conf.unset(name)
+
+
 def table(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Writes df to a Parquet table in the shared folder and reads it back: its lineage ends there, so a lost executor costs a reread."""
     path = f"{shared_dir(df.sparkSession)}/dustline-{uuid.uuid4().hex}"
-    writer = df.write.mode("errorifexists")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    with shuffles_end(df.sparkSession):
+        writer = df.write.mode("errorifexists")
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._dustline_path = path
     collect_garbage(df.sparkSession)
@@ -242,13 +260,43 @@ def pieces(batch, most: int = 4 << 20, column: str = "text"):
         at = end
 
 
+#: Edges up to which components are found by the driver, which then holds a few MB; more take rounds of joins.
+FEW_EDGES = 65_536
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, components) of edges between ids: component is the smallest id."""
+    ids, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    up = list(range(len(ids)))
+    for x, y in zip(at[: len(a)].tolist(), at[len(a) :].tolist()):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        while up[y] != y:
+            up[y] = y = up[up[y]]
+        if x < y:
+            up[y] = x
+        else:
+            up[x] = y
+    for i, x in enumerate(up):  # what is above stands before
+        up[i] = up[x]
+    return ids, ids[np.array(up, np.int64)]
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Connected components of edges (a, b), as rows (id, component) for every id that an edge names; component is the smallest id.
 
-    Large-star and small-star rounds: each sends a node's neighbours to its smallest one, so no node gathers
-    a component and rounds grow with the logarithm of the longest path. Each round is a table in the shared folder.
+    Up to FEW_EDGES edges are joined by the driver, as dozens of shuffles cost more than so few rows. Others take large-star and small-star rounds:
+    each sends a node's neighbours to its smallest one, so no node gathers a component and rounds grow with the logarithm of the longest path. Each round
+    is a table in the shared folder.
     """
-    now = table(edges.where("a <> b").selectExpr("greatest(a, b) AS u", "least(a, b) AS v").distinct())
+    given = table(edges.where("a <> b").selectExpr("greatest(a, b) AS u", "least(a, b) AS v"))
+    if given.count() <= FEW_EDGES:
+        few = given.toArrow()
+        drop_table(given)
+        ids, component = joined(few.column("u").to_numpy(), few.column("v").to_numpy())
+        return edges.sparkSession.createDataFrame(pa.table({"id": ids, "component": component}), "id bigint, component bigint")
+    now = table(given.distinct())
+    drop_table(given)
     before = None
     for _ in range(rounds):
         both = now.union(now.selectExpr("v AS u", "u AS v"))

@@ -3,12 +3,14 @@
 import functools
 import hashlib
 import re
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from dustline.llm import byte_bpe, ivf_pq, jump_shards, language_id, mixing, near_dup, nn_descent, passages, toxicity
-from dustline.llm.common import Words, collect_garbage, components
+from dustline.llm import byte_bpe, common, ivf_pq, jump_shards, language_id, mixing, near_dup, nn_descent, passages, toxicity
+from dustline.llm.common import Words, collect_garbage, components, table
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 words = lambda rng, n: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n))
@@ -363,3 +365,46 @@ def test_the_driver_gives_freed_native_memory_back(spark):
     assert before - held() > 60
     for x in many:
         x.end()
+
+
+def test_a_table_leaves_no_shuffle_files(spark, monkeypatch):
+    jvm = spark._jvm
+
+    def files():
+        them = jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+        out = set()
+        while them.hasNext():
+            out.add(them.next().getName())
+        return {x for x in out if x.startswith("shuffle_")}
+
+    monkeypatch.setattr(common, "collect_garbage", lambda *_: None)
+    before = files()
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n"))
+    got = table(df)
+    for _ in range(20):  # executors delete them by themselves
+        if not files() - before:
+            break
+        time.sleep(0.25)
+    assert not files() - before
+    assert got.count() == df.count() == 7  # what is run again is made again
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+
+
+def test_few_edges_are_joined_in_few_jobs_and_many_in_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(31)
+    at = rng.permutation(600).astype(np.int64) - 300
+    a, b = np.concatenate((at[:200], at[300:500], [7, 8])), np.concatenate((at[1:201], at[rng.integers(300, 600, 200)], [7, 8]))
+    df = spark.createDataFrame([*zip(a.tolist(), b.tolist()), (None, 1), (1, None)], "a bigint, b bigint")
+    sc = spark.sparkContext
+    sc.setJobGroup("few edges", "")
+    few = {tuple(r) for r in components(df).collect()}
+    assert len(sc.statusTracker().getJobIdsForGroup("few edges")) <= 6
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    label = {int(i): int(i) for i in np.concatenate((a[a != b], b[a != b]))}
+    for _ in range(400):
+        for x, y in zip(a[a != b].tolist(), b[a != b].tolist()):
+            label[x] = label[y] = min(label[x], label[y])
+    assert few == set(label.items())
+    monkeypatch.setattr(common, "FEW_EDGES", 0)
+    assert {tuple(r) for r in components(df).collect()} == few
+    assert components(df.where("a = b")).count() == 0
