@@ -206,9 +206,7 @@ SIGNED = "n int, h1 bigint, h2 bigint, keys array<bigint>, " + ", ".join(f"{c} b
 def signed(runs: list[np.ndarray], samples: int = SAMPLES, banded: int = BANDED) -> dict[str, pa.Array]:
     """For each list of hashes, of which repeats don't count: its set's size, its 128-bit name, keys of bands and sketch. The sketch takes `samples`, of which the first `banded` make bands."""
     sizes = np.array([len(r) for r in runs], np.int64)
-    flat, of = np.concatenate([*runs, np.zeros(0, U)]), np.repeat(np.arange(len(runs)), sizes)
-    order = np.lexsort((flat, of))
-    flat, of = flat[order], of[order]
+    flat, of = np.concatenate([*map(np.sort, runs), np.zeros(0, U)]), np.repeat(np.arange(len(runs)), sizes)
     new = np.ones(len(flat), bool)
     new[1:] = (flat[1:] != flat[:-1]) | (of[1:] != of[:-1])
     flat, n = flat[new], np.bincount(of[new], minlength=len(runs))

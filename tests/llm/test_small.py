@@ -408,3 +408,9 @@ def test_few_edges_are_joined_in_few_jobs_and_many_in_rounds(spark, monkeypatch)
     monkeypatch.setattr(common, "FEW_EDGES", 0)
     assert {tuple(r) for r in components(df).collect()} == few
     assert components(df.where("a = b")).count() == 0
+
+
+def test_lines_count_words_as_the_word_rule_does():
+    text = "a b\tc\n\n \x0b\x0c\rd\x85e \x1c f\u2003g\n h"
+    assert passages.lines(text).tolist() == [[0, 3], [3, 3], [6, 1]]
+    assert passages.lines("").shape == (0, 2)
